@@ -188,6 +188,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return out.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", "n_equal", "n_window", "text")
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are clean, all columns as they are."""
+    arrow_batches(docs.sparkSession)
+    sc, schema, at = docs.sparkSession.sparkContext, docs.schema, docs.columns.index(text_col)
+    out = docs
+    for block in _item_blocks(items, "item_id", "text"):
+        index = sc.broadcast([(r.item_id, r.text) for r in block.collect()])  # BLOCK_TOKENS tokens at most
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            own = Index(index.value)
+            for batch in batches:
+                yield batch.filter(pa.array([own.best(t.as_py() or "") is None for t in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return contamination(documents(spark, sf_dir), items).drop("text")

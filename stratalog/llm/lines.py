@@ -90,6 +90,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """All rows and columns of ``docs``, their texts without the lines that :func:`dedup_lines` drops; a null text stays null."""
+    runs = materialize(dropped_runs(id_text(docs, id_col, text_col), **rule))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = dict(zip(("__k1", "__k2"), content_key(F.col(id_col).cast("long"), text)))
+    rows = docs.withColumns(keys).join(runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs")), ["__k1", "__k2"], "left")
+    return rows.withColumn(text_col, kept_lines(F.col(text_col), F.col("__runs"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_lines(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
     """All columns of ``docs``, with the score as ``__score`` last; a map over the rows."""
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a few thousand numbers
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns])
     schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,5 +243,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def without_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, all columns as they are."""
+    kept = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col).where(F.col("__score") >= THRESHOLD)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -4,9 +4,9 @@ Every distinct fingerprint is cut into segments, few enough that two fingerprint
 that differs by at most one bit. Each segment is indexed under all its one-wildcard variants (one bit position left
 out), so such a pair shares a variant; an equality join on the variants finds it and the full distance is verified.
 
-Large groups: equal fingerprints are one node. Nodes that agree outside four bits are linked without any join (they
-can't be further apart than four), and only variants whose nodes are not all linked already reach the pair join, so a
-large group of copies does not meet all against all.
+Large groups: equal fingerprints are one node. In every class of nodes that share a variant the smallest and the largest
+are compared with all others first, which links most of a large group in a star; only classes of three and more whose
+nodes are not all linked by then reach the join of all pairs. So a large group of copies does not meet all against all.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches, id_text, materialize, release
 from .components import components
@@ -73,30 +74,29 @@ def variants(nodes: DataFrame, distance: int) -> DataFrame:
     return nodes.select("*", F.posexplode(table).alias("v", "_m")).withColumn("k", F.col("fp").bitwiseAND(F.col("_m"))).drop("_m")
 
 
-def _sure_links(nodes: DataFrame) -> DataFrame:
-    """Pairs that agree outside one of 32 sets of four bits: of each set's class (16 nodes at most) its smallest and largest."""
-    sets = [[4 * i + j for j in range(4)] for i in range(16)] + [[i + 16 * j for j in range(4)] for i in range(16)]
-    table = F.array(*[F.lit(_signed((2**64 - 1) ^ sum(1 << b for b in s))) for s in sets])
-    keys = nodes.select("fp", F.posexplode(table).alias("v", "_m")).select("fp", "v", F.col("fp").bitwiseAND(F.col("_m")).alias("k"))
-    return keys.groupBy("v", "k").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("a", "b")
-
-
 def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
-    """Of distinct fingerprints (fp): (fp, label), label being the same for all that are linked, directly or by others."""
-    nodes = fps.select("fp").distinct()
-    nodes = materialize(nodes)
-    sure = components(_sure_links(nodes)) if distance >= 4 else None
-    labelled = nodes.withColumn("c", F.col("fp"))
-    if sure is not None:
-        labelled = materialize(nodes.join(sure.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("c")))
-    rows = variants(labelled, distance)
-    mixed = rows.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v", "k")
-    open_ = materialize(rows.join(mixed, ["v", "k"], "left_semi"))
+    """Of fingerprints (fp): distinct (fp, label), label being the same for all that are linked, directly or by others."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = materialize(fps.select("fp").distinct())
+    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    # Stars: in every class its smallest and largest node are compared with all; a class of two is done with that.
+    rows = variants(nodes.repartition(n, "fp"), distance)
+    classes = materialize(rows.groupBy("v", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("size")).where("size > 1"))
+    ends = rows.join(classes.withColumnsRenamed({"v": "w", "k": "l"}), (F.col("v") == F.col("w")) & (F.col("k") == F.col("l")) & (((F.col("fp") != F.col("lo")) & near("fp", "lo")) | ((F.col("fp") != F.col("hi")) & near("fp", "hi"))))
+    star = ends.select("fp", F.explode(F.array(F.when(near("fp", "lo"), F.col("lo")), F.when(near("fp", "hi"), F.col("hi")))).alias("to")).where("to <> fp")
+    linked = components(star.select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    labelled = materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("c")))
+    # What stars may have missed: pairs in larger classes that are not linked yet.
+    large = classes.where("size > 2").select("v", "k")
+    left = variants(labelled.repartition(n, "fp"), distance).join(large, ["v", "k"], "left_semi")
+    left = materialize(left)
+    mixed = left.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v", "k")
+    open_ = materialize(left.join(mixed, ["v", "k"], "left_semi"))
     a, b = open_.select("v", "k", F.col("fp").alias("fa"), F.col("c").alias("a")), open_.select("v", "k", F.col("fp").alias("fb"), F.col("c").alias("b"))
-    near = a.join(b, (a.v == b.v) & (a.k == b.k) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance))
-    joined = components(near.select("a", "b"))
+    missed = a.join(b, (a.v == b.v) & (a.k == b.k) & (F.col("a") < F.col("b")) & near("fa", "fb"))
+    joined = components(missed.select("a", "b"))
     out = materialize(labelled.join(joined.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("label", "c").alias("label")))
-    release(open_, nodes)
+    release(open_, left, classes, nodes)
     return out
 
 
@@ -115,6 +115,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays (nulls last).
+
+    All columns are kept as they are. Of rows that share id and component one stays.
+    """
+    arrow_batches(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((fingerprint(t or "", words) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], schema.names)
+
+    rows = materialize(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    short = rows.select(F.col("__fp").alias("fp"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"))
+    first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    stays = first.join(fingerprint_components(short.select("fp"), distance), "fp").groupBy("label").agg(F.min("first").alias("first"))
+    stays = materialize(stays.select(F.col("first.row").alias("__row")))
+    return rows.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
