@@ -5,8 +5,8 @@ that differs by at most one bit. Each segment is indexed under all its one-wildc
 out), so such a pair shares a variant; an equality join on the variants finds it and the full distance is verified.
 
 Large groups: equal fingerprints are one node. In every class of nodes that share a variant the smallest and the largest
-are compared with all others first, which links most of a large group in a star; only classes of three and more whose
-nodes are not all linked by then reach the join of all pairs. So a large group of copies does not meet all against all.
+are compared with all others in one pass, which links most of a large group in stars; only classes that are not linked
+as a whole by then reach the join of all pairs. So a large group of copies does not meet all against all.
 """
 
 from __future__ import annotations
@@ -16,16 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_batches, id_text, materialize, release
 from .components import components
+from .substrings import bit_table, with_bit
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
+#: Hashes that stand for the shingles of a text when texts are compared.
+SKETCH = 128
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -58,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
 def segments(distance: int) -> list[tuple[int, int]]:
     """(first bit, bits): the fewest segments of which one differs by at most one bit."""
-    n = distance // 2 + 1
+    n = max(2, distance // 2 + 1)  # a segment's bits and its number share a long
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
@@ -68,36 +71,52 @@ def _signed(x: int) -> int:
 
 
 def variants(nodes: DataFrame, distance: int) -> DataFrame:
-    """One row per node, segment and left-out position: ``v`` tells the position, ``k`` holds the other bits of the segment."""
-    masks = [(1 << at + n) - (1 << at) & ~(1 << at + i) for at, n in segments(distance) for i in range(n)]
-    table = F.array(*[F.lit(_signed(m)) for m in masks])
-    return nodes.select("*", F.posexplode(table).alias("v", "_m")).withColumn("k", F.col("fp").bitwiseAND(F.col("_m"))).drop("_m")
+    """(fp, k) per node, segment and left-out position: k is which of them it is (high bits) and the segment's other bits."""
+    keys, fp = [], F.col("fp")
+    for at, n in segments(distance):
+        for i in range(n):
+            rest = fp.bitwiseAND(F.lit(_signed(((1 << n) - 1 ^ 1 << i) << at)))
+            keys.append(F.call_function("shiftrightunsigned", rest, F.lit(at)).bitwiseOR(F.lit(len(keys) << 33)))
+    return nodes.select("fp", F.explode(F.array(*keys)).alias("k"))
 
 
-def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
-    """Of fingerprints (fp): distinct (fp, label), label being the same for all that are linked, directly or by others."""
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = materialize(fps.select("fp").distinct())
+def fingerprint_links(nodes: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Of distinct fingerprints (fp): links (a, b) that connect all that any links connect, and (fp, label) by stars alone.
+
+    A link joins two fingerprints within the distance. Not every such pair is returned: a class that one node links as a
+    whole, and pairs that are connected by then, need no more.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-    # Stars: in every class its smallest and largest node are compared with all; a class of two is done with that.
-    rows = variants(nodes.repartition(n, "fp"), distance)
-    classes = materialize(rows.groupBy("v", "k").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("size")).where("size > 1"))
-    ends = rows.join(classes.withColumnsRenamed({"v": "w", "k": "l"}), (F.col("v") == F.col("w")) & (F.col("k") == F.col("l")) & (((F.col("fp") != F.col("lo")) & near("fp", "lo")) | ((F.col("fp") != F.col("hi")) & near("fp", "hi"))))
-    star = ends.select("fp", F.explode(F.array(F.when(near("fp", "lo"), F.col("lo")), F.when(near("fp", "hi"), F.col("hi")))).alias("to")).where("to <> fp")
-    linked = components(star.select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    # The one large shuffle: classes of nodes that share a variant, each compared with its smallest and its largest.
+    own = Window.partitionBy("k")
+    rows = variants(nodes.repartition(n, "fp"), distance).withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("lo < hi")
+    rows = rows.withColumns({"to_lo": near("fp", "lo"), "to_hi": near("fp", "hi")})
+    every = lambda c: F.min(c).over(own)
+    done = every(F.col("to_lo")) | every(F.col("to_hi")) | (every(F.col("to_lo") | F.col("to_hi")) & near("lo", "hi"))
+    shared = materialize(rows.withColumn("done", done).where("not done or (to_lo and fp <> lo) or (to_hi and fp <> hi)"))
+    ends = F.array(F.when(F.col("to_lo"), F.col("lo")), F.when(F.col("to_hi"), F.col("hi")))
+    star = shared.select(F.col("fp").alias("a"), F.explode(ends).alias("b")).where("a <> b").distinct()
+    linked = components(star)
     labelled = materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("c")))
-    # What stars may have missed: pairs in larger classes that are not linked yet.
-    large = classes.where("size > 2").select("v", "k")
-    left = variants(labelled.repartition(n, "fp"), distance).join(large, ["v", "k"], "left_semi")
-    left = materialize(left)
-    mixed = left.groupBy("v", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v", "k")
-    open_ = materialize(left.join(mixed, ["v", "k"], "left_semi"))
-    a, b = open_.select("v", "k", F.col("fp").alias("fa"), F.col("c").alias("a")), open_.select("v", "k", F.col("fp").alias("fb"), F.col("c").alias("b"))
-    missed = a.join(b, (a.v == b.v) & (a.k == b.k) & (F.col("a") < F.col("b")) & near("fa", "fb"))
-    joined = components(missed.select("a", "b"))
+    # What stars may have missed: pairs of classes that a star did not link as a whole, if no other link joined them by now.
+    left = materialize(shared.where("not done").select("k", "fp").join(labelled, "fp"))
+    mixed = left.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("k")
+    open_ = materialize(left.join(mixed, "k", "left_semi"))
+    a, b = open_.select("k", F.col("fp").alias("a"), F.col("c").alias("ca")), open_.select("k", F.col("fp").alias("b"), F.col("c").alias("cb"))
+    missed = a.join(b, (a.k == b.k) & (F.col("ca") < F.col("cb")) & near("a", "b")).select("a", "b", "ca", "cb")
+    missed = materialize(missed.groupBy("ca", "cb", "a").agg(F.min("b").alias("b")))
+    release(open_, left)
+    links = materialize(star.unionByName(missed.select("a", "b")))
+    joined = components(missed.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     out = materialize(labelled.join(joined.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("label", "c").alias("label")))
-    release(open_, left, classes, nodes)
-    return out
+    release(shared, missed)
+    return links, out
+
+
+def fingerprint_components(fps: DataFrame, distance: int) -> DataFrame:
+    """Of fingerprints (fp): distinct (fp, label), label being the same for all that are linked, directly or by others."""
+    return fingerprint_links(materialize(fps.select("fp").distinct()), distance)[1]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
@@ -115,26 +134,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id stays (nulls last).
+def word_set_fingerprint(words: list[bytes]) -> int:
+    """A SimHash of the distinct words: an edited word moves it far less than it moves one of shingles."""
+    distinct = set(words)
+    if not distinct:
+        return 0
+    bits = np.unpackbits(np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, distinct)), np.uint8)).reshape(-1, BITS)
+    counts = np.add.reduce(bits, axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(bits)).astype(np.uint8)).view(np.uint64)[0])
+
 
-    All columns are kept as they are. Of rows that share id and component one stays.
+def shingle_sketch(words: list[bytes], size: int) -> np.ndarray:
+    """The SKETCH smallest hashes of the set of shingles; all of them, if fewer."""
+    digest = xxhash.xxh3_64_digest
+    shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(size)))] or ([b" ".join(words)] if words else [])
+    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.uint64))[:SKETCH]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact if both are whole."""
+    both = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        both = both[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(a, b), both)) / len(both) if len(both) else 1.0
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 5) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (nulls last).
+
+    Rows are linked if SimHashes of their word sets are within ``distance`` bits and their sets of ``words``-word shingles
+    have a similarity of ``least`` or more (A-Z in lower case; estimated from 128 hashes for longer texts). Rows with
+    one fingerprint are compared with its first row, fingerprints by their first rows. Texts without words are alike. All
+    columns are kept as they are. Of equal rows one stays.
     """
-    arrow_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__sketch", T.BinaryType())])
     at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [(t.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in batch.column(at)]
+            fps = np.fromiter(map(word_set_fingerprint, split), np.uint64, len(split))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array([shingle_sketch(w, words).tobytes() for w in split], pa.binary())], schema.names)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t or "", words) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], schema.names)
-
-    rows = materialize(docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
-    short = rows.select(F.col("__fp").alias("fp"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row"))
-    first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    stays = first.join(fingerprint_components(short.select("fp"), distance), "fp").groupBy("label").agg(F.min("first").alias("first"))
-    stays = materialize(stays.select(F.col("first.row").alias("__row")))
-    return rows.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            keep = np.array([similarity(x, y) >= least for x, y in zip(a, b)], bool)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+
+    rows = materialize(docs.mapInArrow(made, schema).withColumn("__row", F.monotonically_increasing_id()))
+    short = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
+    first = materialize(short.groupBy("fp").agg(F.min("at").alias("at"))).select("fp", F.col("at.row").alias("row"))
+    links, _ = fingerprint_links(first.select("fp"), distance)
+    # Two links for each fingerprint will do, to its smallest and its largest neighbour found.
+    links = links.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    one, two = first.select(F.col("fp").alias("a"), F.col("row").alias("ra")), first.select(F.col("fp").alias("b"), F.col("row").alias("rb"))
+    across = links.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    inside = short.select("fp", F.col("at.row").alias("a")).join(first.withColumnRenamed("row", "b"), "fp").where("a <> b").select("a", "b")
+    pairs = materialize(across.unionByName(inside))
+    sketch = rows.select("__row", "__sketch")
+    both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    groups = components(both.mapInArrow(alike, "a long, b long"))
+    member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
+    ends = member.join(short.select("at", F.col("at.row").alias("node")), "node")
+    stays = ends.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias("node"))
+    gone = materialize(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "__row"))
+    # Only rows that may be among those are shuffled.
+    marked = with_bit(rows.drop("__fp", "__sketch"), "__row", bit_table(gone, "__row"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return marked.where("not _hit").select(*names).unionByName(marked.where("_hit").join(gone, "__row", "left_anti").select(*names))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -111,15 +111,40 @@ def test_segments():
         assert sum(n for _, n in parts) == 64 and d < 2 * len(parts)
 
 
-def test_one_of_each_group_stays(spark, docs):
-    got = simhash.without_near_duplicates(docs, words=4)
+def shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_one_of_each_group_stays(spark):
+    rng = random.Random(12)
+    base = [prose(rng, rng.randint(60, 400)) for _ in range(30)]
+    rows = list(ROWS)
+    for i, t in enumerate(base):
+        rows.append((1000 + i, t))
+        for j in range(rng.randint(0, 3)):
+            w = t.split()
+            for p in rng.sample(range(len(w)), max(1, len(w) // rng.choice([60, 100, 200]))):
+                w[p] = "edited"
+            rows.append((2000 + 10 * i + j, " ".join(w)))
+    docs = spark.createDataFrame([("c", i, "l", t, 1, 2, 3, 4) for i, t in rows], SCHEMA).repartition(3)
+    got = simhash.without_near_duplicates(docs)
     assert got.columns == docs.columns
-    label = plain_labels([plain_fingerprint(t, 4) for _, t in ROWS], 4)
-    groups = defaultdict(list)
-    for i, t in ROWS:
-        groups[label[plain_fingerprint(t, 4)]].append(i)
-    want = Counter(min((i for i in g if i is not None), default=None) for g in groups.values())
-    assert Counter(r.doc_id for r in got.collect()) == want
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert not kept - Counter(rows)
+    sets = [(i, t, shingles(t)) for i, t in rows]
+    stay = [s for i, t, s in sets if kept[i, t]]
+    for i, t, s in sets:  # what went is like something, if not all of it like what stays
+        if not kept[i, t]:
+            assert sum(jaccard(s, o) >= 0.7 for _, _, o in sets) > 1
+    assert max(kept.values()) == 1 and len({t for _, t in kept}) == len(kept)
+    twins = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(sets[a][2], sets[b][2]) >= 0.85]
+    missed = [1 for a, b in twins if kept[sets[a][:2]] and kept[sets[b][:2]] and sets[a][:2] != sets[b][:2]]
+    assert len(twins) > 50 and len(missed) <= 0.1 * len(twins) and len(stay) > 60
 
 
 def plain_lines(rows, min_chars=20, min_docs=3):
