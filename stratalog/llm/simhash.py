@@ -93,7 +93,8 @@ def fingerprint_links(nodes: DataFrame, distance: int) -> tuple[DataFrame, DataF
     rows = variants(nodes.repartition(n, "fp"), distance).withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("lo < hi")
     rows = rows.withColumns({"to_lo": near("fp", "lo"), "to_hi": near("fp", "hi")})
     every = lambda c: F.min(c).over(own)
-    done = every(F.col("to_lo")) | every(F.col("to_hi")) | (every(F.col("to_lo") | F.col("to_hi")) & near("lo", "hi"))
+    # Of three nodes or fewer that is every pair; of more it is enough if a star holds them all.
+    done = (F.count("*").over(own) <= 3) | every(F.col("to_lo")) | every(F.col("to_hi")) | (every(F.col("to_lo") | F.col("to_hi")) & near("lo", "hi"))
     shared = materialize(rows.withColumn("done", done).where("not done or (to_lo and fp <> lo) or (to_hi and fp <> hi)"))
     ends = F.array(F.when(F.col("to_lo"), F.col("lo")), F.when(F.col("to_hi"), F.col("hi")))
     star = shared.select(F.col("fp").alias("a"), F.explode(ends).alias("b")).where("a <> b").distinct()
@@ -101,7 +102,7 @@ def fingerprint_links(nodes: DataFrame, distance: int) -> tuple[DataFrame, DataF
     labelled = materialize(nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("c")))
     # What stars may have missed: pairs of classes that a star did not link as a whole, if no other link joined them by now.
     left = materialize(shared.where("not done").select("k", "fp").join(labelled, "fp"))
-    mixed = left.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("k")
+    mixed = left.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
     open_ = materialize(left.join(mixed, "k", "left_semi"))
     a, b = open_.select("k", F.col("fp").alias("a"), F.col("c").alias("ca")), open_.select("k", F.col("fp").alias("b"), F.col("c").alias("cb"))
     missed = a.join(b, (a.k == b.k) & (F.col("ca") < F.col("cb")) & near("a", "b")).select("a", "b", "ca", "cb")
