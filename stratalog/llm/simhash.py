@@ -11,24 +11,29 @@ as a whole by then reach the join of all pairs. So a large group of copies does
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, id_text, materialize, release
+from .common import arrow_batches, id_text, is_empty, materialize, release
 from .components import components
 from .substrings import bit_table, with_bit
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
-#: Hashes that stand for the shingles of a text when texts are compared.
-SKETCH = 128
+#: Similarities are estimated from BANDS * WIDTH min-hashes.
+BANDS, WIDTH = 20, 5
+MULTIPLIERS = np.random.default_rng(7).integers(2**63, size=BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Seven standard errors of a similarity of 0.8 estimated from BANDS * WIDTH min-hashes: pairs further below are not looked at again.
+MARGIN = 0.28
+#: Nodes of a class that meet all others of it in one task.
+BLOCK = 256
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -70,14 +75,19 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def variants(nodes: DataFrame, distance: int) -> DataFrame:
-    """(fp, k) per node, segment and left-out position: k is which of them it is (high bits) and the segment's other bits."""
+def variant_keys(distance: int) -> list[Column]:
+    """Of fp, for each segment and left-out position: which of them it is (high bits) and the segment's other bits."""
     keys, fp = [], F.col("fp")
     for at, n in segments(distance):
         for i in range(n):
             rest = fp.bitwiseAND(F.lit(_signed(((1 << n) - 1 ^ 1 << i) << at)))
             keys.append(F.call_function("shiftrightunsigned", rest, F.lit(at)).bitwiseOR(F.lit(len(keys) << 33)))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("k"))
+    return keys
+
+
+def variants(nodes: DataFrame, distance: int) -> DataFrame:
+    """(fp, k) per node and key."""
+    return nodes.select("fp", F.explode(F.array(*variant_keys(distance))).alias("k"))
 
 
 def fingerprint_links(nodes: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
@@ -145,65 +155,137 @@ def word_set_fingerprint(words: list[bytes]) -> int:
     return int(np.packbits((2 * counts > len(bits)).astype(np.uint8)).view(np.uint64)[0])
 
 
-def shingle_sketch(words: list[bytes], size: int) -> np.ndarray:
-    """The SKETCH smallest hashes of the set of shingles; all of them, if fewer."""
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted hashes of the set of shingles; fewer words than a shingle are one."""
     digest = xxhash.xxh3_64_digest
     shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(size)))] or ([b" ".join(words)] if words else [])
-    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.uint64))[:SKETCH]
+    return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.uint64))
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Four bytes of each of the BANDS * WIDTH smallest hashes under as many multiplications."""
+    low = np.full(len(MULTIPLIERS), 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(low, (hashes[at : at + 256, None] * MULTIPLIERS).min(axis=0), out=low)
+    return low.astype(np.uint32)
+
+
+def shared_classes(nodes: DataFrame, distance: int) -> DataFrame:
+    """Of nodes (node, fp, sig): (k, node, fp, lo, hi, n, to_lo, to_hi), a row for each class that a node has candidates in.
+
+    Classes are variants of SimHashes (k is not negative).
+    lo and hi are a class's smallest and largest node, n its size; to_lo and to_hi say that node makes a pair with them.
+    """
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = variant_keys(distance)
+    own = Window.partitionBy("k")
+    rows = nodes.repartition(n, "node").select("node", "fp", F.explode(F.array(*keys)).alias("k"))
+    at = F.struct("node", "fp")
+    rows = rows.withColumns({"lo": F.min(at).over(own), "hi": F.max(at).over(own), "n": F.count("*").over(own)}).where("n > 1")
+    rows = rows.withColumns({"to_lo": (F.col("node") != F.col("lo.node")) & candidates("fp", "lo.fp", distance), "to_hi": F.col("node").isin(F.col("lo.node"), F.col("hi.node")) == F.lit(False)})
+    rows = rows.withColumn("to_hi", F.col("to_hi") & candidates("fp", "hi.fp", distance))
+    return rows.where("n > 3 or to_lo or to_hi").select("k", "node", "fp", F.col("lo.node").alias("lo"), F.col("hi.node").alias("hi"), "n", "to_lo", "to_hi")
+
+
+def candidates(x: str, y: str, distance: int) -> Column:
+    """Whether fingerprints x and y of a class k make a pair; equal ones have a class of their own."""
+    near = F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    return (F.col("k") < 0) | ((F.col(x) != F.col(y)) & near)
+
+
+def crossing_pairs(open_: DataFrame, distance: int) -> DataFrame:
+    """(a, b, ca, cb): of classes (k, node, fp, c), all distinct pairs of nodes that differ in c. Large classes are met in blocks."""
+    mixed = open_.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("least < most")
+    rows = materialize(open_.join(mixed.select("k", "parts"), "k"))
+    one = rows.select("k", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
+    two = rows.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
+    met = one.join(two, ["k", "part"]).where("ca < cb").where(candidates("fa", "fb", distance))
+    return met.select("a", "b", "ca", "cb").distinct()
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact if both are whole."""
-    both = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        both = both[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(a, b), both)) / len(both) if len(both) else 1.0
+def verified_links(nodes: DataFrame, distance: int, maybe: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Links (a, b) of alike nodes that connect all that any candidate pairs connect.
+
+    Each class is compared with its smallest and largest node first. After that every pair of a class is compared unless
+    verified links join it already: those that look alike by their estimates before the others, which spares most of these.
+    """
+    shared = materialize(shared_classes(nodes, distance))
+    ends = F.array_compact(F.array(F.when(F.col("to_lo"), F.col("lo")), F.when(F.col("to_hi"), F.col("hi"))))
+    links = materialize(verify(maybe(shared.select(F.col("node").alias("a"), F.explode(ends).alias("b")).distinct())))
+    large = shared.where("n > 3").select("k", "node", "fp")
+    groups = materialize(components(links.select("a", "b")))
+    open_ = large.join(groups, "node", "left").select("k", "node", "fp", F.coalesce("label", "node").alias("c"))
+    pairs = materialize(maybe(crossing_pairs(open_, distance)))
+    release(shared)
+    if is_empty(pairs):
+        return links
+    likely = materialize(verify(pairs.where(F.col("estimate") >= least)))
+    joined = materialize(components(likely.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    rest = pairs.where(F.col("estimate") < least)
+    for c in ("ca", "cb"):
+        rest = rest.join(joined.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    rest = verify(materialize(rest.where("ca_label <> cb_label").select(*pairs.columns)))
+    return materialize(links.select("a", "b").unionByName(likely.select("a", "b")).unionByName(rest.select("a", "b")))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (nulls last).
 
-    Rows are linked if SimHashes of their word sets are within ``distance`` bits and their sets of ``words``-word shingles
-    have a similarity of ``least`` or more (A-Z in lower case; estimated from 128 hashes for longer texts). Rows with
-    one fingerprint are compared with its first row, fingerprints by their first rows. Texts without words are alike. All
-    columns are kept as they are. Of equal rows one stays.
+    Rows with one fingerprint are compared with its first row, which is a node. Nodes are linked if the similarity
+    estimated from their min-hashes is ``least`` or more. Candidates are nodes whose SimHashes of
+    word sets are within ``distance`` bits; each such pair is compared unless verified links join it already. Texts without
+    words are alike. All columns are kept as they are. Of equal rows one stays.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType()), T.StructField("__sketch", T.BinaryType())])
+    added = [T.StructField(c, T.LongType()) for c in ("__fp", "__size")] + [T.StructField("__sig", T.BinaryType())]
+    schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text_col)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [(t.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWER).split() for t in batch.column(at)]
+            split = [split_words(t.as_py()) for t in batch.column(at)]
+            sets = [shingle_set(w, words) for w in split]
             fps = np.fromiter(map(word_set_fingerprint, split), np.uint64, len(split))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array([shingle_sketch(w, words).tobytes() for w in split], pa.binary())], schema.names)
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = np.array([similarity(x, y) >= least for x, y in zip(a, b)], bool)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            sigs = pa.array([min_hashes(x).tobytes() for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(sizes), sigs], schema.names)
 
     rows = materialize(docs.mapInArrow(made, schema).withColumn("__row", F.monotonically_increasing_id()))
-    short = rows.select(F.col("__fp").alias("fp"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
-    first = materialize(short.groupBy("fp").agg(F.min("at").alias("at"))).select("fp", F.col("at.row").alias("row"))
-    links, _ = fingerprint_links(first.select("fp"), distance)
-    # Two links for each fingerprint will do, to its smallest and its largest neighbour found.
-    links = links.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
-    one, two = first.select(F.col("fp").alias("a"), F.col("row").alias("ra")), first.select(F.col("fp").alias("b"), F.col("row").alias("rb"))
-    across = links.join(one, "a").join(two, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    inside = short.select("fp", F.col("at.row").alias("a")).join(first.withColumnRenamed("row", "b"), "fp").where("a <> b").select("a", "b")
-    pairs = materialize(across.unionByName(inside))
-    sketch = rows.select("__row", "__sketch")
-    both = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    groups = components(both.mapInArrow(alike, "a long, b long"))
+    short = rows.select("__fp", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
+    first = materialize(short.groupBy("__fp").agg(F.min("at").alias("at")).select("__fp", "at", F.col("at.row").alias("__row")))
+    nodes = materialize(rows.select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__sig").alias("sig")))
+
+    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, len(MULTIPLIERS)) for i in (0, 1))
+            guess = (a == b).mean(axis=1)
+            keep = pa.array(guess >= least - MARGIN)
+            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[2:]), pa.array(guess).filter(keep)], [*batch.schema.names[2:], "estimate"])
+
+    def maybe(pairs: DataFrame) -> DataFrame:
+        """Pairs, with an estimate, that are not certainly less alike than ``least``."""
+        sig = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+        both = pairs.join(sig("b"), "b").join(sig("a"), "a").where((F.least("na", "nb") / F.greatest("na", "nb") >= least))
+        names = ", ".join(f"{c} long" for c in pairs.columns)
+        return both.select("sa", "sb", *pairs.columns).mapInArrow(estimated, f"{names}, estimate double")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("estimate") >= least)
+
+    inside = short.select("__fp", F.col("at.row").alias("a")).join(first.select("__fp", F.col("__row").alias("b")), "__fp").where("a <> b").select("a", "b")
+    across = verified_links(nodes.join(first, nodes.node == first["__row"], "left_semi"), distance, maybe, verify, least)
+    groups = components(across.select("a", "b").unionByName(verify(maybe(inside)).select("a", "b")))
     member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
     ends = member.join(short.select("at", F.col("at.row").alias("node")), "node")
     stays = ends.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias("node"))
     gone = materialize(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "__row"))
     # Only rows that may be among those are shuffled.
-    marked = with_bit(rows.drop("__fp", "__sketch"), "__row", bit_table(gone, "__row"))
+    marked = with_bit(rows.drop(*(f.name for f in added)), "__row", bit_table(gone, "__row"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return marked.where("not _hit").select(*names).unionByName(marked.where("_hit").join(gone, "__row", "left_anti").select(*names))
 
