@@ -177,11 +177,12 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
 def shared_classes(nodes: DataFrame, distance: int) -> DataFrame:
     """Of nodes (node, fp, sig): (k, node, fp, lo, hi, n, to_lo, to_hi), a row for each class that a node has candidates in.
 
-    Classes are variants of SimHashes (k is not negative).
+    Classes are variants of SimHashes (k is not negative) and equal SimHashes (k is negative).
     lo and hi are a class's smallest and largest node, n its size; to_lo and to_hi say that node makes a pair with them.
     """
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = variant_keys(distance)
+    sign = F.lit(-(2**63))
+    keys = [*variant_keys(distance), F.xxhash64(F.lit("same"), "fp").bitwiseOR(sign)]
     own = Window.partitionBy("k")
     rows = nodes.repartition(n, "node").select("node", "fp", F.explode(F.array(*keys)).alias("k"))
     at = F.struct("node", "fp")
@@ -235,14 +236,14 @@ def verified_links(nodes: DataFrame, distance: int, maybe: Callable[[DataFrame],
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (nulls last).
 
-    Rows with one fingerprint are compared with its first row, which is a node. Nodes are linked if the similarity
+    Rows with equal sets of ``words``-word shingles (A-Z in lower case) are one node. Nodes are linked if the similarity
     estimated from their min-hashes is ``least`` or more. Candidates are nodes whose SimHashes of
     word sets are within ``distance`` bits; each such pair is compared unless verified links join it already. Texts without
     words are alike. All columns are kept as they are. Of equal rows one stays.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    added = [T.StructField(c, T.LongType()) for c in ("__fp", "__size")] + [T.StructField("__sig", T.BinaryType())]
+    added = [T.StructField(c, T.LongType()) for c in ("__fp", "__s1", "__s2", "__size")] + [T.StructField("__sig", T.BinaryType())]
     schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text_col)
 
@@ -251,14 +252,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
             split = [split_words(t.as_py()) for t in batch.column(at)]
             sets = [shingle_set(w, words) for w in split]
             fps = np.fromiter(map(word_set_fingerprint, split), np.uint64, len(split))
+            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             sigs = pa.array([min_hashes(x).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(sizes), sigs], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(sizes), sigs], schema.names)
 
     rows = materialize(docs.mapInArrow(made, schema).withColumn("__row", F.monotonically_increasing_id()))
-    short = rows.select("__fp", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
-    first = materialize(short.groupBy("__fp").agg(F.min("at").alias("at")).select("__fp", "at", F.col("at.row").alias("__row")))
-    nodes = materialize(rows.select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__sig").alias("sig")))
+    short = rows.select("__s1", "__s2", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
+    first = materialize(short.groupBy("__s1", "__s2").agg(F.min("at").alias("at")).select("at", F.col("at.row").alias("__row")))
+    nodes = materialize(rows.join(first, "__row", "left_semi").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__sig").alias("sig")))
 
     def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,13 +279,12 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     def verify(pairs: DataFrame) -> DataFrame:
         return pairs.where(F.col("estimate") >= least)
 
-    inside = short.select("__fp", F.col("at.row").alias("a")).join(first.select("__fp", F.col("__row").alias("b")), "__fp").where("a <> b").select("a", "b")
-    across = verified_links(nodes.join(first, nodes.node == first["__row"], "left_semi"), distance, maybe, verify, least)
-    groups = components(across.select("a", "b").unionByName(verify(maybe(inside)).select("a", "b")))
+    groups = components(verified_links(nodes, distance, maybe, verify, least))
     member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
-    ends = member.join(short.select("at", F.col("at.row").alias("node")), "node")
+    ends = member.join(first.select("at", F.col("__row").alias("node")), "node")
     stays = ends.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias("node"))
-    gone = materialize(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "__row"))
+    copies = rows.select("__row").join(first, "__row", "left_anti")
+    gone = materialize(copies.unionByName(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "__row")))
     # Only rows that may be among those are shuffled.
     marked = with_bit(rows.drop(*(f.name for f in added)), "__row", bit_table(gone, "__row"))
     names = [F.col(f"`{c}`") for c in docs.columns]

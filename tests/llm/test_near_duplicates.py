@@ -62,3 +62,11 @@ def test_variants_alike_to_a_base_alone(spark, rng):
     want, pairs = brute(rows)
     assert want == [0] and len(pairs) < 0.2 * 60 * 60 / 2
     assert kept(spark, rows) == want
+
+
+def test_copies_behind_another_order_of_words(spark, rng):
+    base = fresh(rng, 200)
+    other = base[:]
+    rng.shuffle(other)
+    rows = [(0, " ".join(other)), (1, " ".join(base)), (2, " ".join(base)), (3, " ".join(edited(rng, base, 1)))]
+    assert brute(rows)[0] == [0, 1] and kept(spark, rows) == [0, 1]
