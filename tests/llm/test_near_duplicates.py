@@ -70,3 +70,15 @@ def test_copies_behind_another_order_of_words(spark, rng):
     rng.shuffle(other)
     rows = [(0, " ".join(other)), (1, " ".join(base)), (2, " ".join(base)), (3, " ".join(edited(rng, base, 1)))]
     assert brute(rows)[0] == [0, 1] and kept(spark, rows) == [0, 1]
+
+
+def test_recall_at_the_limit(spark, rng):
+    """Tails cut and words replaced, so that similarities lie between 0.8 and 0.9."""
+    rows = []
+    for i in range(150):
+        base = fresh(rng, rng.randint(100, 600))
+        copy = base[: round(len(base) * 0.85)] if i % 2 else edited(rng, base, max(1, len(base) // 50))
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(copy))]
+    want, pairs = brute(rows)
+    got = kept(spark, rows)
+    assert len(pairs) > 100 and set(got) >= set(want) and len(got) - len(want) <= 0.02 * len(pairs)
