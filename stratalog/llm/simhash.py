@@ -12,6 +12,7 @@ as a whole by then reach the join of all pairs. So a large group of copies does
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,13 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32)
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
 def shared_classes(nodes: DataFrame, distance: int) -> DataFrame:
     """Of nodes (node, fp, sig): (k, node, fp, lo, hi, n, to_lo, to_hi), a row for each class that a node has candidates in.
 
@@ -237,8 +245,8 @@ def verified_links(nodes: DataFrame, distance: int, maybe: Callable[[DataFrame],
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 5) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (nulls last).
 
-    Rows with equal sets of ``words``-word shingles (A-Z in lower case) are one node. Nodes are linked if the similarity
-    estimated from their min-hashes is ``least`` or more. Candidates are nodes that share a band of min-hashes, or whose SimHashes of
+    Rows with equal sets of ``words``-word shingles (A-Z in lower case) are one node. Nodes are linked if the similarity of
+    their whole sets is ``least`` or more. Candidates are nodes that share a band of min-hashes, or whose SimHashes of
     word sets are within ``distance`` bits; each such pair is compared unless verified links join it already. Texts without
     words are alike. All columns are kept as they are. Of equal rows one stays.
     """
@@ -277,8 +285,20 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         names = ", ".join(f"{c} long" for c in pairs.columns)
         return both.select("sa", "sb", *pairs.columns).mapInArrow(estimated, f"{names}, estimate double")
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = lru_cache(64)(lambda text: shingle_set(split_words(text), words))
+        for batch in batches:
+            texts = zip(batch.column(0), batch.column(1))
+            keep = np.fromiter((similarity(whole(x.as_py()), whole(y.as_py())) >= least for x, y in texts), bool, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[2:]], batch.schema.names[2:])
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.col("estimate") >= least)
+        """Pairs whose whole sets are alike; only texts that pairs have are shuffled."""
+        pairs = materialize(pairs)
+        ends = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("__row")), "__row")
+        texts = with_bit(rows.select("__row", F.col(f"`{text_col}`").alias("__text")), "__row", ends).where("_hit").select("__row", "__text")
+        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+        return both.select("ta", "tb", *pairs.columns).mapInArrow(alike, pairs.schema)
 
     groups = components(verified_links(nodes, distance, maybe, verify, least))
     member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))

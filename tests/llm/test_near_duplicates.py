@@ -82,3 +82,15 @@ def test_recall_at_the_limit(spark, rng):
     want, pairs = brute(rows)
     got = kept(spark, rows)
     assert len(pairs) > 100 and set(got) >= set(want) and len(got) - len(want) <= 0.02 * len(pairs)
+
+
+def test_limit_is_met_on_whole_texts(spark, rng):
+    """Sets a little over and under 0.8, by tails of so many shingles."""
+    rows = []
+    for i in range(60):
+        base = fresh(rng, 504)
+        size = 400 if i % 2 else 398  # of 500 shingles
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[: size + 4]))]
+    want, pairs = brute(rows)
+    assert len(pairs) == 30
+    assert kept(spark, rows) == want
