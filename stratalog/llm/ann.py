@@ -2,8 +2,9 @@
 
 Centroids come from k-means on a bounded sample. Every vector goes to its nearest centroid's list and, if it lies near
 a boundary, to others whose distance is within a ratio of the nearest (a list that a chosen centroid already covers is
-skipped). Centroids are found by best-first search in a graph of centroids held in memory. A query reads the lists
-whose centroids' distances are within a ratio of its nearest. Long lists are cut into parts of even size, and queries
+skipped). Centroids are found by best-first search in a graph of centroids held in memory, or all are looked at where
+that is less. A query reads the lists whose centroids' distances are within a ratio of its nearest; how many it may read
+is fixed from the recall of some queries that are compared with every vector. Long lists are cut into parts of even size, and queries
 meet a list in blocks, so no task holds a whole hot list.
 
 Largest inner product becomes smallest distance by one more dimension, sqrt(M^2 - |x|^2), M being the largest norm;
@@ -27,7 +28,9 @@ SAMPLE = 20_000
 #: Vectors a list should have, centroids at most, vectors and queries that meet in one task at most.
 LIST, CENTROIDS, PART = 192, 16_384, 4_096
 COPIES, COPY_RATIO = 4, 1.12
-LISTS, LIST_RATIO = 48, 1.25
+#: Lists that a query may read within the ratio, and reads anyway, at least; more, if PROBES queries compared with every vector find less than RECALL.
+LISTS, ANYWAY, LIST_RATIO = 48, 16, 1.25
+PROBES, RECALL = 64, 0.97
 DEGREE, BEAM = 24, 96
 
 
@@ -54,7 +57,7 @@ class Graph:
         x = x.astype(np.float32)
         n, m = len(self.c), len(x)
         own = (x**2).sum(1)[:, None]
-        if n <= 2 * beam:
+        if n <= DEGREE * beam:  # the walk would look at as many
             dist = np.maximum(own + self.sq[None, :] - 2 * x @ self.c.T, 0)
             order = np.argsort(dist, axis=1, kind="stable")[:, :beam]
             return order, np.take_along_axis(dist, order, 1)
@@ -106,6 +109,60 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
     return c
 
 
+def posted(g: Graph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, kept) of each lifted row of x: the lists that hold it are those that are kept."""
+    near, dist = g.search(x, min(2 * COPIES, len(g.c)))
+    keep = np.zeros(near.shape, bool)
+    keep[:, 0] = True
+    close = dist <= COPY_RATIO**2 * dist[:, :1]
+    for j in range(1, near.shape[1]):
+        gap = ((g.c[near[:, j]][:, None, :] - g.c[near[:, :j]]) ** 2).sum(2)
+        covered = (keep[:, :j] & (gap < 0.25 * dist[:, j : j + 1])).any(1)  # nearly the same list
+        keep[:, j] = close[:, j] & ~covered & (keep.sum(1) < COPIES)
+    return near, keep
+
+
+def lists_to_read(g: Graph, nodes: DataFrame, k: int, dim: int) -> tuple[int, int]:
+    """(lists that a query may read within the ratio, lists that it reads anyway), so that probes find RECALL of their k nearest."""
+    n = len(g.c)
+    least = min(LISTS, n), min(ANYWAY, n)
+    probes = nodes.where("asks").orderBy("k1", "k2").select("k1", "k2", "vec").limit(PROBES).collect() if n > ANYWAY else []
+    if not probes:
+        return least
+    q, own = np.array([r.vec for r in probes]), np.array([(r.k1, r.k2) for r in probes])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's k best for each probe, itself left out."""
+        best, vecs = np.full((len(q), 0), 0.0), np.zeros((len(q), 0, dim))
+        for batch in batches:
+            if batch.num_rows:
+                x = _array(batch.column(2), dim)
+                k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
+                s = np.where((k1 == own[:, :1]) & (k2 == own[:, 1:]), -np.inf, q @ x.T)
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                best, vecs = np.concatenate([best, np.take_along_axis(s, top, 1)], 1), np.concatenate([vecs, x[top]], 1)
+                top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                best, vecs = np.take_along_axis(best, top, 1), np.take_along_axis(vecs, top[:, :, None], 1)
+        at, j = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(best[at, j]), pa.array(list(vecs[at, j]), pa.list_(pa.float64()))], ["q", "score", "vec"])
+
+    tops = nodes.select("k1", "k2", "vec").mapInArrow(nearest, "q long, score double, vec array<double>")
+    nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    found = tops.withColumn("nth", nth).where(F.col("nth") <= k).select("q", "vec").collect()
+    if not found:
+        return least
+    order, dist = g.search(np.concatenate([q, np.zeros((len(q), 1))], 1), n)
+    place = np.argsort(order, axis=1)
+    within = (dist <= LIST_RATIO**2 * dist[:, :1]).sum(1)
+    asked = np.array([r.q for r in found])
+    lists, keep = posted(g, g.lifted(np.array([r.vec for r in found])))
+    at = np.where(keep, place[asked[:, None], lists], n).min(1)  # the first list read that holds it
+    need = int(np.sort(at)[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)]) + 1
+    most = max(least[0], need)
+    enough = ((at < least[1]) | (at < np.minimum(most, within[asked]))).mean() >= RECALL
+    return most, least[1] if enough else max(least[1], need)
+
+
 def _array(column: pa.ListArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
@@ -147,19 +204,13 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     lists = int(min(max(1, round(n / LIST)), CENTROIDS, max(1, len(sample) // 4)))
     lifter = Graph(np.zeros((1, dim + 1)), top)
     graph = spark.sparkContext.broadcast(Graph(kmeans(lifter.lifted(sample), lists), top))  # CENTROIDS vectors at most
+    most, anyway = lists_to_read(graph.value, nodes, k, dim)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value
         for batch in batches:
             x = g.lifted(_array(batch.column(2), dim))
-            near, dist = g.search(x, min(2 * COPIES, len(g.c)))
-            keep = np.zeros(near.shape, bool)
-            keep[:, 0] = True
-            close = dist <= COPY_RATIO**2 * dist[:, :1]
-            for j in range(1, near.shape[1]):
-                gap = ((g.c[near[:, j]][:, None, :] - g.c[near[:, :j]]) ** 2).sum(2)
-                covered = (keep[:, :j] & (gap < 0.25 * dist[:, j : j + 1])).any(1)  # nearly the same list
-                keep[:, j] = close[:, j] & ~covered & (keep.sum(1) < COPIES)
+            near, keep = posted(g, x)
             at, j = np.nonzero(keep)
             yield pa.RecordBatch.from_arrays([pa.array(near[at, j].astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in (0, 1, 2, 3))], ["list", "k1", "k2", "vec", "low"])
 
@@ -167,9 +218,9 @@ def neighbours(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
         g = graph.value
         for batch in batches:
             x = np.concatenate([_array(batch.column(2), dim), np.zeros((batch.num_rows, 1))], 1)
-            near, dist = g.search(x, min(LISTS, len(g.c)))
+            near, dist = g.search(x, most)
             want = dist <= LIST_RATIO**2 * dist[:, :1]
-            want[:, : min(16, want.shape[1])] = True
+            want[:, :anyway] = True
             at, j = np.nonzero(want)
             yield pa.RecordBatch.from_arrays([pa.array(near[at, j].astype(np.int32)), *(batch.column(c).take(pa.array(at)) for c in (0, 1, 2))], ["list", "q1", "q2", "query"])
 
