@@ -16,7 +16,6 @@ from .common import materialize
 #: Intervals that are broadcast at most, about 100 bytes each.
 BROADCAST_ROWS = 200_000
 FOREVER = "9999-12-31"
-HOST_LABELS, PATH_PARTS = 8, 4
 
 #: The list of the query below (fixed values): key, category, day, action. Keys: a domain, or a domain with a path.
 ENTRIES = [
@@ -53,14 +52,22 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(host, r"^www\.|\.$", "")
 
 
-def keys_of(url: Column) -> Column:
-    """The host and its parent domains, each alone and with the path's first parts."""
+def depths(listed: DataFrame) -> tuple[int, int]:
+    """The most host labels and the most path parts that a key of the list has."""
+    at = F.split("key", "/")
+    parts = F.size(F.filter(F.slice(at, 2, F.size(at)), lambda p: p != ""))
+    most = listed.agg(F.max(F.size(F.split(at[0], r"\."))).alias("labels"), F.max(parts).alias("parts")).first()
+    return most["labels"] or 1, most["parts"] or 0
+
+
+def keys_of(url: Column, most_labels: int, most_parts: int) -> Column:
+    """The host and its parent domains, each alone and with the path's first parts, as deep as the list goes."""
     host, path = host_of(url), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     labels = F.split(host, r"\.")
-    first = F.greatest(F.lit(1), F.size(labels) - HOST_LABELS + 1)
+    first = F.greatest(F.lit(1), F.size(labels) - most_labels + 1)
     domains = F.transform(F.sequence(first, F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    paths = F.transform(F.sequence(F.lit(0), F.least(F.lit(PATH_PARTS), F.size(parts))), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.concat_ws("/", F.slice(parts, 1, n)))))
+    paths = F.transform(F.sequence(F.lit(0), F.least(F.lit(most_parts), F.size(parts))), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.concat_ws("/", F.slice(parts, 1, n)))))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))))
 
 
@@ -76,7 +83,7 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     valid = materialize(intervals(entries))
     small = valid.count() <= BROADCAST_ROWS
     once = rows.where("url is not null and fetched is not null").select("url", "fetched").distinct()
-    probes = once.select("url", "fetched", F.explode(keys_of(F.col("url"))).alias("key"))
+    probes = once.select("url", "fetched", F.explode(keys_of(F.col("url"), *depths(valid))).alias("key"))
     listed = F.broadcast(valid) if small else valid
     active = probes.join(listed, "key").where("fetched >= since and fetched < until")
     verdicts = active.groupBy("url", "fetched").agg(F.count("*").alias("n_rules"), F.min(F.struct((-F.length("key")).alias("size"), "key", "category")).alias("top"))
