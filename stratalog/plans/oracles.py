@@ -134,6 +134,7 @@ ORACLES = {
     "s11_recovery": LIVE + "SELECT key, value, seq FROM live",
     "s12_memtable_batches": f"WITH {LOG}, b AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // {CAPACITY} AS batch FROM log) SELECT batch, count(*) AS operations, count(DISTINCT key) AS keys, min(seq) AS first_seq FROM b GROUP BY batch",
     "s13_sorted_memtable": FLUSHED + "SELECT key, value, seq, tombstone FROM runs WHERE run_id = 3 ORDER BY key",
+    "s13_sorted_memtables": FLUSHED + "SELECT run_id, key, value, seq, tombstone FROM runs",
     "s16_flush": FLUSHED + "SELECT run_id, level, key, value, seq, tombstone FROM runs",
     "s18_dense_index": FLUSHED + f", {DENSE} SELECT run_id, key, nth, \"at\" FROM dense",
     "s19_sparse_index": FLUSHED + f", {DENSE} SELECT run_id, key, nth, index_at FROM dense WHERE nth % {DENSITY} = 0",
@@ -155,6 +156,7 @@ ORACLES = {
     "f9_tombstones": LIVE + "SELECT tombstone, count(*) AS keys FROM latest GROUP BY tombstone",
     "f10_checksums": f"WITH {LOG} SELECT seq, key FROM log WHERE seq % 100 = 7",
     "f11_merkle_contained": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "f11_merkle_contained_lang": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE lang = 'en')",
     "l1_sorted": LIVE + "SELECT key, value FROM live ORDER BY key",
     "l2_prefix_scan": LIVE + "SELECT key, value FROM live WHERE starts_with(key, 'u00') ORDER BY key LIMIT 10 OFFSET 10",
     "l2_prefix_scan_past_end": LIVE + "SELECT key, value FROM live WHERE starts_with(key, 'u00') ORDER BY key LIMIT 10 OFFSET 980",
@@ -165,11 +167,13 @@ ORACLES = {
     "j1_merge_sources": LIVE + "SELECT key, value, seq FROM live",
     "j3_overlapping_runs": f"WITH {CUSTOMER_RUNS}, x AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 2 ELSE 1 END AS level FROM m) SELECT a.run_id, b.run_id AS next_run_id FROM x a JOIN x b ON b.level = a.level + 1 AND a.min_key <= b.max_key AND a.max_key >= b.min_key",
     "j4_incorrect_elements": "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "j4_incorrect_elements_lang": "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE lang = 'en')",
     "j5_bloom_join": "SELECT l_partkey, count(*) AS line_items FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#13' GROUP BY l_partkey",
     "j6_fingerprint_pairs": f"WITH {fingerprints('SELECT item_id AS id, text FROM benchmark')}, pairs AS (SELECT id AS a, id + 1 AS b FROM fp UNION ALL SELECT id, 0 FROM fp) SELECT a, b, bit_count(xor(x.fp, y.fp))::BIGINT AS distance FROM pairs JOIN fp x ON x.id = a JOIN fp y ON y.id = b",
     "j7_dictionary": f"WITH {LOG}, ids AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS id FROM (SELECT DISTINCT key FROM log)) SELECT key, id, count(*) AS records FROM log JOIN ids USING (key) GROUP BY key, id",
     "u1_union": FLUSHED + ", u AS (SELECT key, seq FROM runs UNION ALL SELECT key, seq FROM log) SELECT key, count(*) AS versions, max(seq) AS seq FROM u GROUP BY key",
     "u3_set_difference": f"WITH {LOG} SELECT DISTINCT key FROM log WHERE seq < 300 EXCEPT SELECT key FROM log WHERE seq >= 9000 AND tombstone",
+    "u3_set_difference_orders": "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'",
     "a4_bloom_build": f"WITH {bloom('SELECT l_suppkey::VARCHAR AS v FROM lineitem', 100, 0.01)} SELECT pos FROM bloom",
     "a5_bloom_check": f"WITH {bloom('SELECT l_partkey::VARCHAR AS v FROM lineitem WHERE l_partkey % 3 = 0', 1000, 0.1)} {bloom_check('SELECT p_partkey::VARCHAR AS value FROM part', 1000, 0.1)}",
     "a6_cms_build": f"WITH {cms('SELECT l_partkey::VARCHAR AS v FROM lineitem', 0.01, 0.01)} SELECT row, col, cnt FROM cms",

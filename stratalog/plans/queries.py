@@ -143,6 +143,12 @@ def s13_sorted_memtable(spark, d):
     return shown(rows).select("key", "value", "seq", "tombstone").orderBy("key")
 
 
+@query
+def s13_sorted_memtables(spark, d):
+    """Every batch's content."""
+    return shown(runs.flush(events_log(spark, d), CAPACITY)).select("run_id", "key", "value", "seq", "tombstone")
+
+
 @query
 def s16_flush(spark, d):
     return shown(runs.flush(events_log(spark, d), CAPACITY)).select("run_id", "level", "key", "value", "seq", "tombstone")
@@ -273,6 +279,14 @@ def f11_merkle_contained(spark, d):
     return merkle.contained(docs, F.col("text"), tree).select("doc_id")
 
 
+@query
+def f11_merkle_contained_lang(spark, d):
+    """All documents against a tree of those in one language."""
+    docs = table(spark, d, "documents")
+    tree = materialize(merkle.leaves(docs.where("lang = 'en'"), F.col("text"), "doc_id"))
+    return merkle.contained(docs, F.col("text"), tree).select("doc_id")
+
+
 @query
 def l1_sorted(spark, d):
     return shown(latest.live(events_log(spark, d))).select("key", "value").orderBy("key")
@@ -339,6 +353,13 @@ def j4_incorrect_elements(spark, d):
     return merkle.incorrect(docs, F.col("text"), tree).select("doc_id")
 
 
+@query
+def j4_incorrect_elements_lang(spark, d):
+    docs = table(spark, d, "documents")
+    tree = materialize(merkle.leaves(docs.where("lang = 'en'"), F.col("text"), "doc_id"))
+    return merkle.incorrect(docs, F.col("text"), tree).select("doc_id")
+
+
 @query
 def j5_bloom_join(spark, d):
     """Line items kept by a filter over the parts of one brand, then joined with them."""
@@ -378,6 +399,14 @@ def u3_set_difference(spark, d):
     return log.where("seq < 300").select("key").distinct().join(log.where("seq >= 9000 and tombstone").select("key"), "key", "left_anti")
 
 
+@query
+def u3_set_difference_orders(spark, d):
+    """Orders with returned lines but no accepted ones."""
+    lines = table(spark, d, "lineitem")
+    key = lambda flag: lines.where(F.col("l_returnflag") == flag).select("l_orderkey")
+    return key("R").distinct().join(key("A"), "l_orderkey", "left_anti")
+
+
 # Sketches
 
 
