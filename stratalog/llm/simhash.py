@@ -12,7 +12,6 @@ as a whole by then reach the join of all pairs. So a large group of copies does
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +30,12 @@ BITS = 64
 #: Bands of min-hashes and min-hashes in a band: sets of similarity s share a band with probability 1 - (1 - s^WIDTH)^BANDS, 0.9996 at 0.8.
 BANDS, WIDTH = 20, 5
 MULTIPLIERS = np.random.default_rng(7).integers(2**63, size=BANDS * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Seven standard errors of a similarity of 0.8 estimated from BANDS * WIDTH min-hashes: pairs further below are not looked at again.
-MARGIN = 0.28
+#: Bins of a sketch, a power of two, and the standard errors by which its estimate may be too low.
+BINS, DEVIATIONS = 1024, 5
 #: Nodes of a class that meet all others of it in one task.
-BLOCK = 256
+BLOCK = 1024
+#: Rounds in which each class's hub is compared with the class, before all pairs that are left.
+ROUNDS = 3
 
 
 def fingerprint(text: str, words: int) -> int:
@@ -167,12 +168,23 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(map(digest, shingles)), np.uint64))
 
 
-def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Four bytes of each of the BANDS * WIDTH smallest hashes under as many multiplications."""
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of the BANDS bands of WIDTH min-hashes."""
     low = np.full(len(MULTIPLIERS), 2**64 - 1, np.uint64)
     for at in range(0, len(hashes), 256):
         np.minimum(low, (hashes[at : at + 256, None] * MULTIPLIERS).min(axis=0), out=low)
-    return low.astype(np.uint32)
+    mixed = ((low ^ (low >> np.uint64(29))) * MULTIPLIERS[::-1]).reshape(BANDS, WIDTH).sum(axis=1, dtype=np.uint64)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Of sorted hashes, for each of BINS equal ranges: whether it holds any (first half), and a bit of its least (second half)."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    first = np.searchsorted(hashes, edges)
+    held = np.append(first[1:], len(hashes)) > first
+    bit = np.zeros(BINS, bool)
+    bit[held] = hashes[first[held]] & np.uint64(1)
+    return np.packbits(held).tobytes() + np.packbits(bit).tobytes()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -182,134 +194,219 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
+def may_be_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Of sketches (rows of 64-bit words) and set sizes: false where ``least`` is out of reach.
+
+    The least hashes of the occupied bins are a sample of the union without replacement, and different ones agree in their
+    bit by chance; a pair goes if the estimate is DEVIATIONS standard errors below ``least``, or by the sizes alone.
+    """
+    half = a.shape[1] // 2
+    count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64).astype(float)
+    both, either = count(a[:, :half] & b[:, :half]), np.maximum(count(a[:, :half] | b[:, :half]), 1)
+    agree = count(a[:, :half] & b[:, :half] & ~(a[:, half:] ^ b[:, half:]))
+    union = np.maximum((na + nb) / (1 + least), 1)
+    error = least * (1 - least) / either * np.clip(1 - either / union, 0, 1) + np.maximum(both - least * either, 1) / either**2
+    return ((2 * agree - both) / either >= least - DEVIATIONS * np.sqrt(error)) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
+
+
 def shared_classes(nodes: DataFrame, distance: int) -> DataFrame:
-    """Of nodes (node, fp, sig): (k, node, fp, lo, hi, n, to_lo, to_hi), a row for each class that a node has candidates in.
+    """Of nodes (node, fp, bands): (k, j, node) for each class that a node shares with others.
 
-    Classes are variants of SimHashes (k is not negative), equal SimHashes and equal bands of min-hashes (k is negative).
-    lo and hi are a class's smallest and largest node, n its size; to_lo and to_hi say that node makes a pair with them.
+    Classes are one-wildcard variants of SimHash segments (j below the number of variants) and bands of min-hashes. They
+    are counted with partial sums; a bit table keeps rows that are alone in their class out of the second shuffle.
     """
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sign, width = F.lit(-(2**63)), 4 * WIDTH
-    keys = [*variant_keys(distance), F.xxhash64(F.lit("same"), "fp").bitwiseOR(sign)]
-    keys += [F.xxhash64(F.lit(i), F.substring("sig", 1 + width * i, width)).bitwiseOR(sign) for i in range(BANDS)]
-    own = Window.partitionBy("k")
-    rows = nodes.repartition(n, "node").select("node", "fp", F.explode(F.array(*keys)).alias("k"))
-    at = F.struct("node", "fp")
-    rows = rows.withColumns({"lo": F.min(at).over(own), "hi": F.max(at).over(own), "n": F.count("*").over(own)}).where("n > 1")
-    rows = rows.withColumns({"to_lo": (F.col("node") != F.col("lo.node")) & candidates("fp", "lo.fp", distance), "to_hi": F.col("node").isin(F.col("lo.node"), F.col("hi.node")) == F.lit(False)})
-    rows = rows.withColumn("to_hi", F.col("to_hi") & candidates("fp", "hi.fp", distance))
-    return rows.where("n > 3 or to_lo or to_hi").select("k", "node", "fp", F.col("lo.node").alias("lo"), F.col("hi.node").alias("hi"), "n", "to_lo", "to_hi")
+    sign, own = F.lit(-(2**63)), variant_keys(distance)
+    keys = F.array(*own, *(F.col("bands")[i].bitwiseOR(sign) for i in range(BANDS)))
+    rows = nodes.select("node", F.posexplode(keys).alias("j", "k"))
+    counts = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    table = bit_table(counts, "k")
+    out = materialize(with_bit(rows, "k", table).where("_hit").join(counts, "k", "left_semi").select("k", "j", "node"))
+    release(counts, table)
+    return out
+
+
+def hub_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of classes (k, j, node, c) with nodes of different components c: pairs (a, b) of each class's hub and its nodes of other
+    components, and the rows without the hubs.
+
+    The hub is the node that meets most nodes of other components over all its classes: the middle of a group of copies.
+    """
+    alike = open_.groupBy("k", "c").agg(F.count("*").alias("m"))
+    sizes = alike.groupBy("k").agg(F.sum("m").alias("n"))
+    meets = open_.join(alike, ["k", "c"]).join(sizes, "k").groupBy("node").agg(F.sum(F.col("n") - F.col("m")).alias("meets"))
+    best = open_.join(meets, "node").groupBy("k").agg(F.max(F.struct("meets", F.negative("node").alias("x"), "c")).alias("h"))
+    rows = materialize(open_.join(best.select("k", F.negative("h.x").alias("hub"), F.col("h.c").alias("hc")), "k"))
+    pairs = rows.where("c <> hc").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return pairs, rows.where("node <> hub").select("k", "j", "node", "c")
 
 
-def candidates(x: str, y: str, distance: int) -> Column:
-    """Whether fingerprints x and y of a class k make a pair; equal ones have a class of their own."""
-    near = F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
-    return (F.col("k") < 0) | ((F.col(x) != F.col(y)) & near)
+def relabelled(open_: DataFrame, groups: DataFrame) -> DataFrame:
+    """The classes that still have nodes of different components, by components (node, label)."""
+    rows = materialize(open_.join(groups, "node", "left").select("k", "j", "node", F.coalesce("label", "node").alias("c")))
+    mixed = rows.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k")
+    out = materialize(rows.join(mixed, "k", "left_semi"))
+    release(rows)
+    return out
 
 
-def crossing_pairs(open_: DataFrame, distance: int) -> DataFrame:
-    """(a, b, ca, cb): of classes (k, node, fp, c), all distinct pairs of nodes that differ in c. Large classes are met in blocks."""
-    mixed = open_.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("least < most")
-    rows = materialize(open_.join(mixed.select("k", "parts"), "k"))
-    one = rows.select("k", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("c").alias("ca"))
-    two = rows.select("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("c").alias("cb"))
-    met = one.join(two, ["k", "part"]).where("ca < cb").where(candidates("fa", "fb", distance))
-    return met.select("a", "b", "ca", "cb").distinct()
+def crossing_pairs(open_: DataFrame, nodes: DataFrame, distance: int, least: float) -> DataFrame:
+    """(a, b): of classes (k, j, node, c) all pairs of nodes with different c that may be alike, each from the first class it shares.
+
+    A class is cut into parts, and every two parts meet in a block, so a large class is spread over many tasks.
+    """
+    n = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants_ = len(variant_keys(distance))
+    sizes = open_.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = open_.join(sizes, "k").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(nodes, "node")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    rows = rows.select("k", "j", "node", "c", "part", "fp", "size", "bands", "sketch", other)
+    rows = rows.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
+
+    def met(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, c, part, fp, size = (group.column(x).to_numpy() for x in ("node", "c", "part", "fp", "size"))
+        bands = group.column("bands").combine_chunks()
+        bands = (bands.chunk(0) if isinstance(bands, pa.ChunkedArray) else bands).flatten().to_numpy().reshape(-1, BANDS)
+        words = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+        j, x, y = (group.column(name)[0].as_py() for name in ("j", "x", "y"))
+        found: list[np.ndarray] = []
+        for i in range(len(node)):
+            at = np.flatnonzero((node > node[i]) & (c != c[i]) & ((part != part[i]) if x != y else True))
+            if not len(at):
+                continue
+            same = bands[at] == bands[i]
+            if j >= variants_:
+                first = same[:, j - variants_] & ~same[:, : j - variants_].any(axis=1)
+            else:
+                differ = (fp[at] ^ fp[i]).view(np.uint64)
+                first = ~same.any(axis=1) & (np.bitwise_count(differ) <= distance) & (first_variant(differ, distance) == j)
+            at = at[first]
+            at = at[may_be_alike(np.broadcast_to(words[i], (len(at), words.shape[1])), words[at], size[i], size[at], least)] if len(at) else at
+            if len(at):
+                found.append(np.stack([np.full(len(at), node[i]), node[at]]))
+        return tuple(np.concatenate(found, axis=1)) if found else (np.empty(0, np.int64),) * 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            k, x, y = (table.column(c).to_numpy() for c in ("k", "x", "y"))
+            edges = np.flatnonzero((np.diff(k) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)) + 1
+            for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(k)]):
+                if z - a > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in met(table.slice(a, z - a).combine_chunks())], ["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, table]) if held is not None else table
+                k, x, y = (held.column(c).to_numpy() for c in ("k", "x", "y"))
+                other_ = np.flatnonzero((k != k[-1]) | (x != x[-1]) | (y != y[-1]))
+                if len(other_):
+                    yield from of(held.slice(0, int(other_[-1]) + 1))
+                    held = held.slice(int(other_[-1]) + 1)
+        if held is not None:
+            yield from of(held)
+
+    return rows.repartition(n, "k", "x", "y").sortWithinPartitions("k", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def first_variant(differ: np.ndarray, distance: int) -> np.ndarray:
+    """The number of the first variant that fingerprints share whose bits ``differ``; -1 if none."""
+    out, number = np.full(len(differ), -1, np.int64), 0
+    for at, n in segments(distance):
+        part = (differ >> np.uint64(at)) & np.uint64((1 << n) - 1)
+        bit = np.bitwise_count(part - np.uint64(1)) * (part != 0)  # of a power of two, its position
+        out = np.where((out < 0) & (np.bitwise_count(part) <= 1), number + bit.astype(np.int64), out)
+        number += n
+    return out
 
 
-def verified_links(nodes: DataFrame, distance: int, maybe: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+def verified_links(nodes: DataFrame, shared: DataFrame, distance: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of alike nodes that connect all that any candidate pairs connect.
 
-    Each class is compared with its smallest and largest node first. After that every pair of a class is compared unless
-    verified links join it already: those that look alike by their estimates before the others, which spares most of these.
+    In each round the hub of every class is verified against the class's nodes of other components and then leaves the
+    class, and classes that verified links join as a whole are done. Some rounds make one component of most groups of
+    copies; every pair that is left in a class, of nodes that verified links do not join, is decided after them.
     """
-    shared = materialize(shared_classes(nodes, distance))
-    ends = F.array_compact(F.array(F.when(F.col("to_lo"), F.col("lo")), F.when(F.col("to_hi"), F.col("hi"))))
-    links = materialize(verify(maybe(shared.select(F.col("node").alias("a"), F.explode(ends).alias("b")).distinct())))
-    large = shared.where("n > 3").select("k", "node", "fp")
-    groups = materialize(components(links.select("a", "b")))
-    open_ = large.join(groups, "node", "left").select("k", "node", "fp", F.coalesce("label", "node").alias("c"))
-    pairs = materialize(maybe(crossing_pairs(open_, distance)))
-    release(shared)
-    if is_empty(pairs):
-        return links
-    likely = materialize(verify(pairs.where(F.col("estimate") >= least)))
-    joined = materialize(components(likely.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-    rest = pairs.where(F.col("estimate") < least)
-    for c in ("ca", "cb"):
-        rest = rest.join(joined.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    rest = verify(materialize(rest.where("ca_label <> cb_label").select(*pairs.columns)))
-    return materialize(links.select("a", "b").unionByName(likely.select("a", "b")).unionByName(rest.select("a", "b")))
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 5) -> DataFrame:
+    links = groups = None
+    open_ = shared.withColumn("c", F.col("node"))
+    for _ in range(ROUNDS):
+        pairs, rest = hub_pairs(open_)
+        found = materialize(verify(pairs))
+        links = materialize(links.unionByName(found)) if links is not None else found
+        groups = materialize(components(links))
+        open_ = relabelled(rest.select("k", "j", "node"), groups)
+        if is_empty(open_):
+            return links
+    return materialize(links.unionByName(verify(crossing_pairs(open_, nodes, distance, least))))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id stays (nulls last).
 
     Rows with equal sets of ``words``-word shingles (A-Z in lower case) are one node. Nodes are linked if the similarity of
-    their whole sets is ``least`` or more. Candidates are nodes that share a band of min-hashes, or whose SimHashes of
-    word sets are within ``distance`` bits; each such pair is compared unless verified links join it already. Texts without
-    words are alike. All columns are kept as they are. Of equal rows one stays.
+    their whole sets is ``least`` or more. Candidates are nodes whose SimHashes of word sets are within ``distance`` bits
+    (deletion variants), or that share a band of min-hashes; each such pair is decided unless verified links join it
+    already. Texts without words are alike, null and empty ones included. All columns are kept as they are, whatever their
+    names. Of equal rows one stays. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    added = [T.StructField(c, T.LongType()) for c in ("__fp", "__s1", "__s2", "__size")] + [T.StructField("__sig", T.BinaryType())]
-    schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index(text_col)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    kinds = [("fp", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+    schema = T.StructType([*whole.schema.fields, *(T.StructField(c, t) for c, t in kinds)])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [split_words(t.as_py()) for t in batch.column(at)]
+            split = [split_words(t.as_py()) for t in batch.column(0).field(at)]
             sets = [shingle_set(w, words) for w in split]
             fps = np.fromiter(map(word_set_fingerprint, split), np.uint64, len(split))
             same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), np.int64).reshape(-1, 2)
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            sigs = pa.array([min_hashes(x).tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64)), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(sizes), sigs], schema.names)
-
-    rows = materialize(docs.mapInArrow(made, schema).withColumn("__row", F.monotonically_increasing_id()))
-    short = rows.select("__s1", "__s2", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), F.col("__row").alias("row")).alias("at"))
-    first = materialize(short.groupBy("__s1", "__s2").agg(F.min("at").alias("at")).select("at", F.col("at.row").alias("__row")))
-    nodes = materialize(rows.join(first, "__row", "left_semi").select(F.col("__row").alias("node"), F.col("__fp").alias("fp"), F.col("__size").alias("size"), F.col("__sig").alias("sig")))
-
-    def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bands = np.concatenate([band_keys(x) for x in sets] or [np.empty(0, np.uint64)]).view(np.int64)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)), pa.array(bands))
+            columns = [pa.array(fps.view(np.int64)), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array([len(x) for x in sets], pa.int64()), bands, pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema.names)
+
+    rows = materialize(whole.mapInArrow(made, schema).withColumn("row", F.monotonically_increasing_id()))
+    own_id = F.col("doc").getField(id_col)
+    short = rows.select("s1", "s2", F.struct(own_id.isNull().alias("none"), own_id.cast("long").alias("id"), "row").alias("at"))
+    first = materialize(short.groupBy("s1", "s2").agg(F.min("at").alias("at")).select("at", F.col("at.row").alias("row")))
+    features = rows.select(F.col("row").alias("node"), "fp", "size", "bands", "sketch")
+    nodes = materialize(features.join(first.select(F.col("row").alias("node")), "node", "left_semi"))
+    shared = shared_classes(nodes, distance)
+    table = bit_table(shared.select("node").distinct(), "node")
+    with_sets = with_bit(rows.select(F.col("row").alias("node"), F.col("doc").getField(text_col).alias("text")), "node", table).where("_hit").select("node", "text")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, len(MULTIPLIERS)) for i in (0, 1))
-            guess = (a == b).mean(axis=1)
-            keep = pa.array(guess >= least - MARGIN)
-            yield pa.RecordBatch.from_arrays([*(c.filter(keep) for c in batch.columns[2:]), pa.array(guess).filter(keep)], [*batch.schema.names[2:], "estimate"])
-
-    def maybe(pairs: DataFrame) -> DataFrame:
-        """Pairs, with an estimate, that are not certainly less alike than ``least``."""
-        sig = lambda c: nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-        both = pairs.join(sig("b"), "b").join(sig("a"), "a").where((F.least("na", "nb") / F.greatest("na", "nb") >= least))
-        names = ", ".join(f"{c} long" for c in pairs.columns)
-        return both.select("sa", "sb", *pairs.columns).mapInArrow(estimated, f"{names}, estimate double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(split_words(t.as_py()), words).tobytes() for t in batch.column(1)], pa.binary())], ["node", "hashes"])
+
+    sets = materialize(with_sets.mapInArrow(to_sets, "node long, hashes binary"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = lru_cache(64)(lambda text: shingle_set(split_words(text), words))
         for batch in batches:
-            texts = zip(batch.column(0), batch.column(1))
-            keep = np.fromiter((similarity(whole(x.as_py()), whole(y.as_py())) >= least for x, y in texts), bool, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[2:]], batch.schema.names[2:])
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(0), batch.column(1))):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep[i] = min(len(a), len(b)) >= least * max(len(a), len(b)) and similarity(a, b) >= least
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[2:]], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs whose whole sets are alike; only texts that pairs have are shuffled."""
-        pairs = materialize(pairs)
-        ends = bit_table(pairs.select(F.explode(F.array("a", "b")).alias("__row")), "__row")
-        texts = with_bit(rows.select("__row", F.col(f"`{text_col}`").alias("__text")), "__row", ends).where("_hit").select("__row", "__text")
-        both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
-        return both.select("ta", "tb", *pairs.columns).mapInArrow(alike, pairs.schema)
-
-    groups = components(verified_links(nodes, distance, maybe, verify, least))
+        """Pairs whose whole sets are alike."""
+        both = pairs.join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
+        return both.select("ha", "hb", "a", "b").mapInArrow(alike, "a long, b long")
+
+    groups = components(verified_links(nodes, shared, distance, least, verify))
     member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
-    ends = member.join(first.select("at", F.col("__row").alias("node")), "node")
+    ends = member.join(first.select("at", F.col("row").alias("node")), "node")
     stays = ends.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias("node"))
-    copies = rows.select("__row").join(first, "__row", "left_anti")
-    gone = materialize(copies.unionByName(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "__row")))
+    copies = rows.select("row").join(first, "row", "left_anti")
+    gone = materialize(copies.unionByName(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "row")))
+    release(sets, shared, nodes, table)
     # Only rows that may be among those are shuffled.
-    marked = with_bit(rows.drop(*(f.name for f in added)), "__row", bit_table(gone, "__row"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return marked.where("not _hit").select(*names).unionByName(marked.where("_hit").join(gone, "__row", "left_anti").select(*names))
+    marked = with_bit(rows.select("row", "doc"), "row", bit_table(gone, "row"))
+    return marked.where("not _hit").select("doc.*").unionByName(marked.where("_hit").join(gone, "row", "left_anti").select("doc.*"))
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
