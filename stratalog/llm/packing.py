@@ -13,10 +13,11 @@ piece's number within its length, from per-partition counts, then tells its bin
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,26 @@ from .common import arrow_batches, documents, id_text, materialize
 LENGTH = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
-#: Steps of the local search; a step empties or improves all bins of a pattern.
-STEPS = 20_000
+#: Pairs of patterns that the local search looks at, at most; it ends before if no pair has anything to gain.
+STEPS = 200_000
 
 _ENCODERS: dict[str, object] = {}
 
 
 def encoder(name: str = VOCABULARY):
-    """Ids of a text, as tokenizers gives them for the same vocabulary (tested); strings of special tokens are ordinary text."""
+    """Ids of a text, as tokenizers gives them for the same vocabulary (tested), strings of special tokens included."""
     if name not in _ENCODERS:
         import public_tokenizers as pt
         import tiktoken
 
+        with open(pt.path(f"{name}.json")) as file:
+            special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+
         with open(pt.path(f"{name}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _ENCODERS[name] = tiktoken.Encoding(name, pat_str=pt.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[name].encode_ordinary
+        own = tiktoken.Encoding(name, pat_str=pt.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        _ENCODERS[name] = lambda text: own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text)
+    return _ENCODERS[name]
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -124,7 +129,9 @@ def _trades(low: tuple[int, ...], high: tuple[int, ...], room: int) -> tuple[int
             if best[0] < x - y <= room:
                 best = (x - y, (x,), (y,))
     if best[0] < room and len(low) > 1:
-        for pair in set(combinations(low, 2)) if len(low) <= 24 else ():
+        for pair in combinations_with_replacement(sorted(one), 2):  # lengths, not pieces: 45 different ones at most fill a bin
+            if pair[0] == pair[1] and low.count(pair[0]) < 2:
+                continue
             for y in two:
                 if best[0] < sum(pair) - y <= room:
                     best = (sum(pair) - y, pair, (y,))
@@ -135,18 +142,19 @@ def local_search(bins: Counter, capacity: int, steps: int = STEPS) -> Counter:
     """Moves, one-for-one and two-for-one exchanges from the emptiest bins into fuller ones, while squared fill grows."""
     bins = Counter(bins)
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
-    stuck: set[tuple] = set()
-    while steps and bins.total() > least:
-        under = sorted((p for p in bins if sum(p) < capacity and p not in stuck), key=lambda p: (sum(p), p))
-        if not under:
-            break
-        low = under[0]
+    vain: set[tuple] = set()  # pairs of patterns that have nothing to trade, now or later
+    moved = True
+    while moved and bins.total() > least:
         moved = False
-        for high in sorted((p for p in bins if sum(p) < capacity), key=lambda p: (-sum(p), p)):
-            if sum(high) < sum(low) or (high == low and bins[low] < 2):
+        under = sorted((p for p in bins if sum(p) < capacity), key=lambda p: (sum(p), p))
+        for low, high in ((a, b) for i, a in enumerate(under) for b in reversed(under[i:])):
+            if (low, high) in vain or (high == low and bins[low] < 2):
                 continue
+            if steps <= 0:
+                return bins
             steps -= 1
             if not (trade := _trades(low, high, capacity - sum(high))):
+                vain.add((low, high))
                 continue
             _, give, take = trade
             n = bins[low] // 2 if high == low else min(bins[low], bins[high])
@@ -158,11 +166,6 @@ def local_search(bins: Counter, capacity: int, steps: int = STEPS) -> Counter:
                 if new:
                     bins[new] += n
             moved = True
-            stuck.clear() if len(stuck) < 64 else None
-            break
-        if not moved:
-            stuck.add(low)
-        if not steps > 0:
             break
     return bins
 
