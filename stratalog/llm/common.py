@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Texts may be long, so a batch of the default 10,000 could take gigabytes.
 ARROW_ROWS = 512
+#: Words of a bit table that rules out most rows before a shuffle: always this many rows at most, whatever the input.
+FILTER_WORDS = 1 << 19
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -76,3 +78,26 @@ def content_key(*cols: Column) -> list[Column]:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def _word(key: Column) -> tuple[Column, Column]:
+    mixed = F.xxhash64(key, F.lit("filter"))
+    return F.pmod(mixed, F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mixed, 20), F.lit(64)).cast("int"))
+
+
+def bit_table(keys: DataFrame, key: str) -> DataFrame:
+    """A table of bits with those of all keys set; FILTER_WORDS rows at most."""
+    word, bit = _word(F.col(key))
+    return materialize(keys.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits")))
+
+
+def with_bit(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """``rows`` with ``_hit``: false where the key is certainly not in the table. The broadcast has a fixed bound."""
+    word, bit = _word(F.col(key))
+    wide = rows.withColumns({"_w": word, "_b": bit}).join(F.broadcast(table), "_w", "left")
+    return wide.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(F.col("_b")) != 0, F.lit(False))).drop("_w", "_b", "_bits")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that columns of an operator's own can't clash with any; ``doc.*`` gives them back."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc")

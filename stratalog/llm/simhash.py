@@ -20,9 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, id_text, is_empty, materialize, release
+from .common import arrow_batches, bit_table, id_text, is_empty, materialize, release, whole_row, with_bit
 from .components import components
-from .substrings import bit_table, with_bit
 
 SEED = 42
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -353,7 +352,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     arrow_batches(spark)
     at = docs.columns.index(text_col)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    whole = docs.select(whole_row(docs))
     kinds = [("fp", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("size", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
     schema = T.StructType([*whole.schema.fields, *(T.StructField(c, t) for c, t in kinds)])
 

@@ -1,16 +1,16 @@
-"""Suffix-array dedup: every byte covered by a long string that also starts anywhere else goes.
-
-Suffixes are sampled: of every string of ``length`` bytes the ANCHOR-byte string with the least hash is the anchor, and
-only anchored suffixes are kept, about one in a hundred bytes. Two equal strings have equal anchors at equal places, so
-no match is lost. A level of the index is a sorted array of such suffixes (by the hash of their first ANCHOR bytes)
-with, for each, whether more than one continuation was seen. A new batch of documents is sorted into an array of its
-own and merge-scanned against all levels; levels of equal size then merge, so an entry is rewritten a logarithmic
-number of times (:class:`Levels`).
-
-A repeated anchor is only a candidate. All strings around it are decided exactly: where the whole context of an anchor
-is repeated, all its strings are; contexts that differ are compared string by string, by hashes under the anchor's,
-with one representative for each distinct context. Hot passages meet as counts or as short blocks of hashes keyed by
-anchor and place, and texts are never sent along.
+"""Substring dedup: every byte covered by a long string that also starts anywhere else goes.
+
+Suffixes are sampled: of every string of ``length`` symbols (bytes, or words) the ``anchor``-symbol string with the least
+hash is the anchor, and only anchored suffixes are kept, about one in a hundred bytes. Two equal strings have equal
+anchors at equal places, so no match is lost. A level of the index is an array of such suffixes, ordered by the hash of
+their anchor, with the number of entries and whether more than one continuation was seen. A new batch of documents
+becomes an array of its own and is scanned against all levels; levels of equal rank then merge, so an entry is rewritten
+a logarithmic number of times (:class:`Levels`).
+
+A repeated anchor is only a candidate. All strings around it are decided by 64-bit hashes: where the whole context of an
+anchor is repeated, all its strings are; contexts that differ are compared string by string under the anchor's hash, with
+one representative for each distinct context. Hot passages meet as counts or as short blocks of hashes keyed by anchor
+and place. Texts are shuffled only for contexts that differ, and for documents that have something removed.
 """
 
 from __future__ import annotations
@@ -25,17 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, content_key, documents, id_text, materialize, release
+from .common import arrow_batches, bit_table, content_key, documents, id_text, materialize, release, with_bit
 
 LENGTH, ANCHOR = 400, 200
+#: Words of a passage that is told of.
+PASSAGE = 51
+#: Batches that documents are added to the index in.
+BATCHES = 4
 #: Strings that a text is looked at in one go.
 CHUNK = 1 << 19
 #: Strings of an anchor that are compared as one block.
 BLOCK = 32
 #: Contexts of one anchor and block that are compared in one task; more are spread by hash.
 HOT = 1 << 17
-#: Words of a bit table that rules out most rows before a shuffle: always this many rows at most, whatever the input.
-FILTER_WORDS = 1 << 19
 P = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _TABLES: list[np.ndarray] = []
@@ -66,9 +68,28 @@ def _hashes(sums: np.ndarray, size: int, at: np.ndarray | slice) -> np.ndarray:
     return _mixed((sums[size:][at] - sums[: len(sums) - size][at]) * down[at])
 
 
-def suffixes(data: bytes, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+def symbols(text: str, unit: str) -> np.ndarray:
+    """The text's UTF-8 bytes, or a 64-bit hash of each of its words (what white space, [\\x20\\x09-\\x0D], separates)."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if unit == "byte":
+        return raw
+    out, at = [], 0
+    while at < len(raw):
+        block = raw[at : at + CHUNK]
+        word = (block != 32) & ((block < 9) | (block > 13))
+        if at + len(block) < len(raw) and word[-1] and not word.all():  # cut between words; one that fills a block is cut
+            block = block[: int(np.flatnonzero(~word)[-1]) + 1]
+            word = word[: len(block)]
+        edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        sums = _sums(block)
+        out.append(_mixed((sums[edge[1::2]] - sums[edge[::2]]) * _tables()[1][edge[::2]]))
+        at += len(block)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def suffixes(raw: np.ndarray, length: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(first, count, offset, hash) arrays: runs of string starts with the same anchor, and where in the first it stands."""
-    raw, window, low = np.frombuffer(data, np.uint8), length - anchor + 1, np.uint64(4 * CHUNK - 1)
+    window, low = length - anchor + 1, np.uint64(4 * CHUNK - 1)
     for at in range(0, len(raw) - length + 1, CHUNK):
         part = raw[at : at + CHUNK + length - 1]
         h = _hashes(_sums(part), anchor, slice(None))
@@ -86,18 +107,18 @@ def suffixes(data: bytes, length: int, anchor: int) -> Iterator[tuple[np.ndarray
 ENTRY = "k1 long, k2 long, s long, n int, o int, g long, c long"
 
 
-def entries(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+def entries(texts: DataFrame, length: int, anchor: int, unit: str) -> DataFrame:
     """(k1, k2: the text, s: first string, n: strings, o: the anchor in the first, g: the anchor, c: the whole context) per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = text.as_py().encode("utf-8", "surrogatepass")
+                data = symbols(text.as_py(), unit)
                 if len(data) < length:
                     continue
                 for s, n, o, g in suffixes(data, length, anchor):
-                    c = [xxhash.xxh3_64_intdigest(data[a : a + b + length - 1], d) for a, b, d in zip(s.tolist(), n.tolist(), o.tolist())]
+                    c = [xxhash.xxh3_64_intdigest(data[a : a + b + length - 1].data, d) for a, b, d in zip(s.tolist(), n.tolist(), o.tolist())]
                     for col, x in zip(out, (np.full(len(s), k1), np.full(len(s), k2), s, n.astype(np.int32), o.astype(np.int32), g.view(np.int64), np.array(c, np.uint64).view(np.int64))):
                         col.append(x)
             if out[0]:
@@ -128,17 +149,14 @@ class Levels:
         hits = self._merged(fresh, *(x for _, x in self.levels)).where("n > 1")
         if last:
             return materialize(hits)
-        if not self.levels:
-            own = materialize(self._merged(fresh).sortWithinPartitions("g"))
-            self.levels.append((0, own))
-            return materialize(own.where("n > 1"))
-        hits = materialize(hits)
         rank, ranked = 0, [fresh]
+        every = len(self.levels)
         while any(r == rank for r, _ in self.levels):
             ranked += [x for r, x in self.levels if r == rank]
             self.levels = [(r, x) for r, x in self.levels if r != rank]
             rank += 1
         made = materialize(self._merged(*ranked).sortWithinPartitions("g"))
+        hits = materialize(made.where("n > 1") if len(ranked) == every + 1 else hits)  # it holds all levels, or they are scanned
         release(*ranked[1:])
         self.levels.append((rank, made))
         return hits
@@ -148,25 +166,7 @@ class Levels:
         self.levels = []
 
 
-def _word(key: Column) -> tuple[Column, Column]:
-    mixed = F.xxhash64(key, F.lit("filter"))
-    return F.pmod(mixed, F.lit(FILTER_WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(mixed, 20), F.lit(64)).cast("int"))
-
-
-def bit_table(keys: DataFrame, key: str) -> DataFrame:
-    """A table of bits with those of all keys set; FILTER_WORDS rows at most."""
-    word, bit = _word(F.col(key))
-    return materialize(keys.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits")))
-
-
-def with_bit(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """``rows`` with ``_hit``: false where the key is certainly not in the table. The broadcast has a fixed bound."""
-    word, bit = _word(F.col(key))
-    wide = rows.withColumns({"_w": word, "_b": bit}).join(F.broadcast(table), "_w", "left")
-    return wide.withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(F.col("_b")) != 0, F.lit(False))).drop("_w", "_b", "_bits")
-
-
-def _blocks(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+def _blocks(texts: DataFrame, wanted: DataFrame, length: int, unit: str) -> DataFrame:
     """Hashes of all strings of the wanted contexts, in blocks of the same places around the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def _blocks(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows = []
             for k1, k2, text, asked in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), batch.column(3)):
-                data = np.frombuffer(text.as_py().encode("utf-8", "surrogatepass"), np.uint8)
+                data = symbols(text.as_py(), unit)
                 for x in asked.as_py():
                     s, n, anchor = x["s"], x["n"], x["s"] + x["o"]
                     sums = _sums(data[s : s + n + length - 1])
@@ -261,11 +261,11 @@ def _runs(at: Column, mask: Column) -> Column:
     return F.zip_with(starts, ends, lambda a, b: F.struct((at + a).alias("s"), (b - a + 1).cast("int").alias("n")))
 
 
-def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
-    """(k1, k2, spans): for each text that has any, the sorted (first byte, end) of what repeated strings cover, overlapping or not."""
+def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, unit: str = "byte") -> DataFrame:
+    """(k1, k2, spans): for each text that has any, the sorted (first symbol, end) of what repeated strings cover, overlapping or not."""
     spark = texts.sparkSession
     arrow_batches(spark)
-    rows = materialize(entries(texts, length, anchor).withColumn("batch", F.pmod("k2", F.lit(batches)).cast("int")), "batch")
+    rows = materialize(entries(texts, length, anchor, unit).withColumn("batch", F.pmod("k2", F.lit(batches)).cast("int")), "batch")
     index, hits = Levels(), []
     for i in range(batches):
         hits.append(index.add(rows.where(F.col("batch") == i), last=i == batches - 1))
@@ -286,7 +286,7 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batch
     wanted = materialize(contexts.select("r.*", "g", (F.col("m") > 1).alias("seen")))
     table = bit_table(wanted, "k1")
     few = with_bit(texts, "k1", table).where("_hit").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
-    blocks = materialize(_blocks(few, wanted, length))
+    blocks = materialize(_blocks(few, wanted, length, unit))
     part = _repeated_strings(blocks).select("k1", "k2", F.explode(_runs(F.col("p"), F.col("mask"))).alias("x")).select("k1", "k2", "x.s", "x.n")
     strings = whole.unionByName(again).unionByName(part).groupBy("k1", "k2", "s").agg(F.max("n").alias("n"))
     span = F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + (length - 1)).alias("z"))
@@ -297,7 +297,10 @@ def repeated(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batch
 
 
 def _tidy(spark) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over, rather than when the driver happens to collect its garbage."""
+    """Lets Spark delete the shuffle files of jobs that are over, rather than when the driver happens to collect its garbage.
+
+    Spark's cleaner goes by the driver's garbage; without this the files of all jobs here stay on disk together.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -312,33 +315,38 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in out]
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
-    """A row per document: doc_id, n_bytes, spans (removed, maximal: a, z), kept (the other bytes, joined).
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batches: int = BATCHES, passage: int = PASSAGE) -> DataFrame:
+    """A row per document: doc_id, n_bytes, spans (removed, maximal: a, z), kept (the other bytes, joined), shares_passage.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same document or another, overlapping or not; strings are judged on the input. Repeated rows
     are copies like others. Null ids are kept. Texts shorter than ``length`` keep all. An empty table gives an empty
-    result. Other columns are not looked at. ``kept`` is bytes, as a cut may split a character.
+    result. Other columns are not looked at. ``kept`` is bytes, as a cut may split a character. ``shares_passage`` says
+    that a passage of ``passage`` words stands anywhere else too: such a passage may be shorter than ``length`` bytes.
     """
     texts = id_text(docs, id_col, text_col).select("doc_id", "text", *content_key(F.col("text")))
     spans = repeated(texts, length, anchor, batches)
-    marked = with_bit(texts, "k1", bit_table(spans, "k1"))
-    rows = marked.where("_hit").join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    rows = rows.unionByName(marked.where("not _hit").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
+    shares = repeated(texts, passage, max(1, passage // 3), batches, "word").select("k1", "k2", F.lit(True).alias("shares"))
+    found = materialize(spans.join(shares, ["k1", "k2"], "full"))
+    release(spans)
+    marked = with_bit(texts, "k1", bit_table(found, "k1"))
+    rows = marked.where("_hit").join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans", "shares")
+    none = (F.lit(None).cast(found.schema["spans"].dataType).alias("spans"), F.lit(None).cast("boolean").alias("shares"))
+    rows = rows.unionByName(marked.where("not _hit").select("doc_id", "text", *none))
     pair = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("z", T.LongType())]))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", pair), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("spans", pair), T.StructField("kept", T.BinaryType()), T.StructField("shares_passage", T.BooleanType())])
     kinds = [pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            for text, found in zip(batch.column(1), batch.column(2)):
-                data, cuts = text.as_py().encode("utf-8", "surrogatepass"), merged(found.as_py() or [])
+            for text, spans_ in zip(batch.column(1), batch.column(2)):
+                data, cuts = text.as_py().encode("utf-8", "surrogatepass"), merged(spans_.as_py() or [])
                 sizes.append(len(data))
                 gone.append([{"a": a, "z": z} for a, z in cuts])
                 ends = [0, *(x for cut in cuts for x in cut), len(data)]
                 kept.append(b"".join(data[a:z] for a, z in zip(ends[::2], ends[1::2])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip((sizes, gone, kept), kinds))], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip((sizes, gone, kept), kinds)), batch.column(3).fill_null(False)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -346,4 +354,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     rows = dedup_substrings(documents(spark, sf_dir))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["z"] - x["a"])
-    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"), "shares_passage")
