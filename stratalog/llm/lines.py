@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, documents, id_text, materialize
+from .common import bit_table, content_key, documents, id_text, materialize, release, whole_row, with_bit
 
 SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,13 +53,25 @@ def repeated_lines(lines: DataFrame, min_docs: int, keep: str) -> DataFrame:
 
 def dropped_runs(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, keep: str = "largest") -> DataFrame:
     """(k1, k2, runs): for each document that loses lines the compressed bitmap, as runs (start, length) of dropped positions."""
-    lines = line_hashes(docs, min_chars)
+    lines = materialize(line_hashes(docs, min_chars))
     frequent = materialize(repeated_lines(lines, min_docs, keep))
-    gone = lines.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("k1", "k2", "pos")
+    some = with_bit(lines, "h1", bit_table(frequent, "h1")).where("_hit")  # few lines are frequent; only these are shuffled
+    gone = some.join(frequent, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("k1", "k2", "pos")
     gone = gone.groupBy("k1", "k2", "pos").agg(F.lit(1).alias("one")).drop("one")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("k1", "k2").orderBy("pos"))
     runs = gone.withColumn("island", island).groupBy("k1", "k2", "island").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("length"))
-    return runs.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs"))
+    out = materialize(runs.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("runs")))
+    release(lines, frequent)
+    return out
+
+
+def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` (k1, k2, ...) with their runs, null if they have none; only rows that may have some are shuffled."""
+    marked = with_bit(rows, "k1", bit_table(runs, "k1"))
+    none = F.lit(None).cast(runs.schema["runs"].dataType).alias("runs")
+    own = rows.columns
+    touched = marked.where("_hit").select(*own).join(runs, ["k1", "k2"], "left").select(*own, "runs")
+    return marked.where("not _hit").select(*own, none).unionByName(touched)
 
 
 def kept_lines(text: Column, runs: Column) -> Column:
@@ -81,8 +93,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not looked at.
     """
     plain = id_text(docs, id_col, text_col)
-    runs = materialize(dropped_runs(plain, min_chars, min_docs, keep))
-    rows = plain.select("doc_id", "text", *content_key(F.col("doc_id"), F.col("text"))).join(runs, ["k1", "k2"], "left")
+    runs = dropped_runs(plain, min_chars, min_docs, keep)
+    rows = with_runs(plain.select("doc_id", "text", *content_key(F.col("doc_id"), F.col("text"))), runs)
     n = F.aggregate("runs", F.lit(0), lambda s, r: s + r["length"])
     return rows.select(
         "doc_id", F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"),
@@ -92,11 +104,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """All rows and columns of ``docs``, their texts without the lines that :func:`dedup_lines` drops; a null text stays null."""
-    runs = materialize(dropped_runs(id_text(docs, id_col, text_col), **rule))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keys = dict(zip(("__k1", "__k2"), content_key(F.col(id_col).cast("long"), text)))
-    rows = docs.withColumns(keys).join(runs.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("runs").alias("__runs")), ["__k1", "__k2"], "left")
-    return rows.withColumn(text_col, kept_lines(F.col(text_col), F.col("__runs"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    runs = dropped_runs(id_text(docs, id_col, text_col), **rule)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = with_runs(docs.select(whole_row(docs), *content_key(F.col(f"`{id_col}`").cast("long"), text)), runs)
+    own = lambda c: F.col("doc").getField(c)
+    return rows.select(*[(kept_lines(own(c), F.col("runs")) if c == text_col else own(c)).alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
