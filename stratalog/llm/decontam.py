@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, documents
+from .common import arrow_batches, documents, whole_row
 
 #: Of any 13 positions of which at most 2 differ, each of these finds a place with all its ones on equal tokens (tested).
 MASKS = ("11001011", "11010011")
@@ -29,6 +29,8 @@ LEAST_TOKENS = 5
 BLOCK_TOKENS = 2_000_000
 BLOCK_BYTES = 1 << 20
 TABLE_BITS = 22
+#: Hits that are reduced to diagonals at once, beyond those of one place.
+HITS = 1 << 20
 P = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -137,8 +139,15 @@ class Index:
                 lo, hi = np.searchsorted(h, got[at], "left"), np.searchsorted(h, got[at], "right")
                 full = np.flatnonzero(hi > lo)
                 n = (hi - lo)[full]
-                where = np.repeat(lo[full] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                pairs.update(zip(item[where].tolist(), (np.repeat(at[full], n) - place[where]).tolist()))
+                # Hits become diagonals some at a time: a word that text and item repeat has as many hits as the product.
+                share = np.cumsum(n) // HITS
+                for i in np.unique(share):
+                    some = np.flatnonzero(share == i)
+                    m = n[some]
+                    where = np.repeat(lo[full][some] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                    key = (item[where].astype(np.int64) << 40) + (np.repeat(at[full][some], m) - place[where]) + (1 << 39)
+                    key = np.unique(key)
+                    pairs.update(zip((key >> 40).tolist(), ((key & ((1 << 40) - 1)) - (1 << 39)).tolist()))
         top = None
         for k, shift in pairs:
             same, window = self.overlap(k, tok, shift)
@@ -189,20 +198,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are clean, all columns as they are."""
+    """The rows of ``docs`` that are clean, all columns as they are, whatever their names."""
     arrow_batches(docs.sparkSession)
-    sc, schema, at = docs.sparkSession.sparkContext, docs.schema, docs.columns.index(text_col)
-    out = docs
+    sc, out, at = docs.sparkSession.sparkContext, docs.select(whole_row(docs)), docs.columns.index(text_col)
     for block in _item_blocks(items, "item_id", "text"):
         index = sc.broadcast([(r.item_id, r.text) for r in block.collect()])  # BLOCK_TOKENS tokens at most
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = Index(index.value)
             for batch in batches:
-                yield batch.filter(pa.array([own.best(t.as_py() or "") is None for t in batch.column(at)], pa.bool_()))
+                yield batch.filter(pa.array([own.best(t.as_py() or "") is None for t in batch.column(0).field(at)], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
-    return out
+        out = out.mapInArrow(run, out.schema)
+    return out.select("doc.*")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, documents
+from .common import arrow_batches, documents, whole_row
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 20_000
@@ -213,17 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Gam().fit(x, got["label"].to_numpy(np.float64))
 
 
-def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, with the score as ``__score`` last; a map over the rows."""
+def score(docs: DataFrame, model: Gam, text_col: str = "text") -> DataFrame:
+    """(doc, score): each row as a struct of all its columns, with its score; a map over the rows."""
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a few thousand numbers
-    rows = docs.select(F.col(f"`{text_col}`").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns])
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    rows, at = docs.select(whole_row(docs)), docs.columns.index(text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = shared.value.score(_matrix(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(made)], schema.names)
+            made = shared.value.score(_matrix(batch.column(0).field(at)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -239,14 +239,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = fit(docs, labels, id_col, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    rows = score(own, model).select("doc_id", held.alias("held_out"), F.col("__score").alias("score"))
+    rows = score(own, model).select("doc.doc_id", "score").select("doc_id", held.alias("held_out"), "score")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def without_low_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, all columns as they are."""
-    kept = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col).where(F.col("__score") >= THRESHOLD)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the classifier does not reject, all columns as they are, whatever their names."""
+    return score(docs, fit(docs, labels, id_col, text_col), text_col).where(F.col("score") >= THRESHOLD).select("doc.*")
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

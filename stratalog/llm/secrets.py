@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, documents
+from .common import content_key, documents, whole_row
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 BEFORE, AFTER = 64, 32
@@ -167,11 +167,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findin
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "<SECRET>") -> DataFrame:
-    """The documents with the findings that are secrets masked, by id."""
-    bad = found.where("is_secret").groupBy("doc_id").agg(F.collect_set("finding").alias("__bad"))
-    wide = docs.withColumn("__id", F.col(id_col).cast("long")).join(bad.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    clean = F.when(F.col("__bad").isNull(), F.col(text_col)).otherwise(F.aggregate("__bad", F.col(text_col), lambda t, b: F.replace(t, b, F.lit(mask))))
-    return wide.withColumn(text_col, clean).select(*docs.columns)
+    """The documents with the findings that are secrets masked, by id; longer ones first, so that none is left in part.
+
+    All columns are kept, whatever their names. Rows that share an id get the findings of all of them; null ids get none.
+    """
+    size = F.array_sort(F.collect_set(F.struct((-F.length("finding")).alias("size"), "finding")))
+    bad = found.where("is_secret").groupBy("doc_id").agg(size.alias("bad"))
+    rows = docs.select(whole_row(docs), F.col(f"`{id_col}`").cast("long").alias("doc_id")).join(bad, "doc_id", "left")
+    own = lambda c: F.col("doc").getField(c)
+    clean = F.when(F.col("bad").isNull(), own(text_col)).otherwise(F.aggregate("bad", own(text_col), lambda t, b: F.replace(t, b["finding"], F.lit(mask))))
+    return rows.select(*[(clean if c == text_col else own(c)).alias(c) for c in docs.columns])
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -212,7 +212,7 @@ def test_substrings(spark, docs, none, chunk, monkeypatch):
         monkeypatch.setattr(substrings, "CHUNK", chunk)
         monkeypatch.setattr(substrings, "_TABLES", [])
         data = ("".join(random.Random(2).choice("abcdefgh ") for _ in range(5000))).encode()
-        seen = np.concatenate([s for s, *_ in substrings.suffixes(data, 400, 200)]), np.concatenate([n for _, n, *_ in substrings.suffixes(data, 400, 200)])
+        seen = np.concatenate([s for s, *_ in substrings.suffixes(np.frombuffer(data, np.uint8), 400, 200)]), np.concatenate([n for _, n, *_ in substrings.suffixes(np.frombuffer(data, np.uint8), 400, 200)])
         covered = np.concatenate([np.arange(s, s + n) for s, n in zip(*seen)])
         assert (np.sort(covered) == np.arange(5000 - 399)).all()
         return
@@ -233,6 +233,10 @@ def test_substrings(spark, docs, none, chunk, monkeypatch):
     got = [(r.doc_id, r.n_bytes, sum(x.z - x.a for x in r.spans), len(r.spans), bytes(r.kept)) for r in rows]
     same(got, want)
     assert sum(w[2] for w in want) > 5000
+    split = [re.split(r"[\x20\x09-\x0d]+", (t or "").strip(" \t\n\x0b\f\r")) for _, t in ROWS]
+    passages = Counter(tuple(w[p : p + 51]) for w in split for p in range(len(w) - 50))
+    same([(r.doc_id, r.shares_passage) for r in rows], [(i, any(passages[tuple(w[p : p + 51])] > 1 for p in range(len(w) - 50))) for (i, _), w in zip(ROWS, split)])
+    assert {r.shares_passage for r in rows} == {True, False}
     assert substrings.dedup_substrings(none).count() == 0
 
 
@@ -354,9 +358,8 @@ def test_tokenizer_equality():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(pt.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     encode = packing.encoder()
-    for t in [t or "" for _, t in ROWS] + ["<|endoftext|> a", " \n\n  x", "I'll  we've\t ½²", "\U0001f600 zero​width", "a" * 3000]:
+    for t in [t or "" for _, t in ROWS] + ["<|endoftext|> a", "b<|endoftext|><|endoftext|>", "<|endoftext|", " \n\n  x", "I'll  we've\t ½²", "\U0001f600 zero​width", "a" * 3000]:
         assert list(encode(t)) == tok.encode(t, add_special_tokens=False).ids
 
 
