@@ -32,7 +32,7 @@ MULTIPLIERS = np.random.default_rng(7).integers(2**63, size=BANDS * WIDTH, dtype
 #: Bins of a sketch, a power of two, and the standard errors by which its estimate may be too low.
 BINS, DEVIATIONS = 1024, 5
 #: Nodes of a class that meet all others of it in one task.
-BLOCK = 1024
+BLOCK = 4096
 #: Rounds in which each class's hub is compared with the class, before all pairs that are left.
 ROUNDS = 3
 
@@ -208,19 +208,20 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, l
     return ((2 * agree - both) / either >= least - DEVIATIONS * np.sqrt(error)) & (np.minimum(na, nb) >= least * np.maximum(na, nb))
 
 
-def shared_classes(nodes: DataFrame, distance: int) -> DataFrame:
-    """Of nodes (node, fp, bands): (k, j, node) for each class that a node shares with others.
+def band_columns() -> list[Column]:
+    return [F.col("bands")[i].bitwiseOR(F.lit(-(2**63))) for i in range(BANDS)]
 
-    Classes are one-wildcard variants of SimHash segments (j below the number of variants) and bands of min-hashes. They
-    are counted with partial sums; a bit table keeps rows that are alone in their class out of the second shuffle.
+
+def open_classes(nodes: DataFrame, keys: list[Column], first: int) -> DataFrame:
+    """Of nodes (node, c, ...): (k, j, node, c) for each key, the ``first`` + nth is j, that nodes of different components c share.
+
+    Classes are judged with partial sums; a bit table keeps rows of all others out of the second shuffle.
     """
-    sign, own = F.lit(-(2**63)), variant_keys(distance)
-    keys = F.array(*own, *(F.col("bands")[i].bitwiseOR(sign) for i in range(BANDS)))
-    rows = nodes.select("node", F.posexplode(keys).alias("j", "k"))
-    counts = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"))
-    table = bit_table(counts, "k")
-    out = materialize(with_bit(rows, "k", table).where("_hit").join(counts, "k", "left_semi").select("k", "j", "node"))
-    release(counts, table)
+    rows = nodes.select("node", "c", F.posexplode(F.array(*keys)).alias("j", "k")).withColumn("j", F.col("j") + F.lit(first))
+    mixed = materialize(rows.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k"))
+    table = bit_table(mixed, "k")
+    out = materialize(with_bit(rows, "k", table).where("_hit").join(mixed, "k", "left_semi").select("k", "j", "node", "c"))
+    release(mixed, table)
     return out
 
 
@@ -240,7 +241,7 @@ def hub_pairs(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def relabelled(open_: DataFrame, groups: DataFrame) -> DataFrame:
-    """The classes that still have nodes of different components, by components (node, label)."""
+    """The classes (k, j, node) that still have nodes of different components, by components (node, label)."""
     rows = materialize(open_.join(groups, "node", "left").select("k", "j", "node", F.coalesce("label", "node").alias("c")))
     mixed = rows.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k")
     out = materialize(rows.join(mixed, "k", "left_semi"))
@@ -320,24 +321,31 @@ def first_variant(differ: np.ndarray, distance: int) -> np.ndarray:
     return out
 
 
-def verified_links(nodes: DataFrame, shared: DataFrame, distance: int, least: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verified_links(nodes: DataFrame, distance: int, least: float, sets_of: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of alike nodes that connect all that any candidate pairs connect.
 
-    In each round the hub of every class is verified against the class's nodes of other components and then leaves the
-    class, and classes that verified links join as a whole are done. Some rounds make one component of most groups of
-    copies; every pair that is left in a class, of nodes that verified links do not join, is decided after them.
+    In each round the hub of every band's class is verified against the class's nodes of other components and then leaves
+    the class, and classes that verified links join as a whole are done. Some rounds make one component of most groups
+    of copies. After them every pair that is left in a class, of a band or of variants of SimHashes, is decided, unless
+    verified links join it.
     """
-    links = groups = None
-    open_ = shared.withColumn("c", F.col("node"))
+    own = variant_keys(distance)
+    open_ = open_classes(nodes.withColumn("c", F.col("node")), band_columns(), len(own))
+    sets = sets_of(open_.select("node"))
+    links = nodes.sparkSession.createDataFrame([], "a long, b long")
+    groups = nodes.sparkSession.createDataFrame([], "node long, label long")
     for _ in range(ROUNDS):
+        if is_empty(open_):
+            break
         pairs, rest = hub_pairs(open_)
-        found = materialize(verify(pairs))
-        links = materialize(links.unionByName(found)) if links is not None else found
+        links = materialize(links.unionByName(verify(pairs, sets)))
         groups = materialize(components(links))
         open_ = relabelled(rest.select("k", "j", "node"), groups)
-        if is_empty(open_):
-            return links
-    return materialize(links.unionByName(verify(crossing_pairs(open_, nodes, distance, least))))
+    release(sets)
+    labelled = nodes.join(groups, "node", "left").withColumn("c", F.coalesce("label", "node"))
+    open_ = open_.unionByName(open_classes(labelled, own, 0))
+    pairs = materialize(crossing_pairs(open_, nodes, distance, least))
+    return materialize(links.unionByName(verify(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))))))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, distance: int = 3) -> DataFrame:
@@ -373,15 +381,15 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     first = materialize(short.groupBy("s1", "s2").agg(F.min("at").alias("at")).select("at", F.col("at.row").alias("row")))
     features = rows.select(F.col("row").alias("node"), "fp", "size", "bands", "sketch")
     nodes = materialize(features.join(first.select(F.col("row").alias("node")), "node", "left_semi"))
-    shared = shared_classes(nodes, distance)
-    table = bit_table(shared.select("node").distinct(), "node")
-    with_sets = with_bit(rows.select(F.col("row").alias("node"), F.col("doc").getField(text_col).alias("text")), "node", table).where("_hit").select("node", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(split_words(t.as_py()), words).tobytes() for t in batch.column(1)], pa.binary())], ["node", "hashes"])
 
-    sets = materialize(with_sets.mapInArrow(to_sets, "node long, hashes binary"))
+    def sets_of(some: DataFrame) -> DataFrame:
+        """The whole sets of nodes that have candidates."""
+        texts = rows.select(F.col("row").alias("node"), F.col("doc").getField(text_col).alias("text"))
+        return materialize(with_bit(texts, "node", bit_table(some, "node")).where("_hit").select("node", "text").mapInArrow(to_sets, "node long, hashes binary"))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -391,18 +399,18 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 keep[i] = min(len(a), len(b)) >= least * max(len(a), len(b)) and similarity(a, b) >= least
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[2:]], ["a", "b"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs whose whole sets are alike."""
         both = pairs.join(sets.toDF("b", "hb"), "b").join(sets.toDF("a", "ha"), "a")
         return both.select("ha", "hb", "a", "b").mapInArrow(alike, "a long, b long")
 
-    groups = components(verified_links(nodes, shared, distance, least, verify))
+    groups = components(verified_links(nodes, distance, least, sets_of, verify))
     member = materialize(groups.select("node", "label").unionByName(groups.select(F.col("label").alias("node"), "label").distinct()))
     ends = member.join(first.select("at", F.col("row").alias("node")), "node")
     stays = ends.groupBy("label").agg(F.min("at").alias("at")).select(F.col("at.row").alias("node"))
     copies = rows.select("row").join(first, "row", "left_anti")
     gone = materialize(copies.unionByName(member.select("node").join(stays, "node", "left_anti").withColumnRenamed("node", "row")))
-    release(sets, shared, nodes, table)
+    release(nodes)
     # Only rows that may be among those are shuffled.
     marked = with_bit(rows.select("row", "doc"), "row", bit_table(gone, "row"))
     return marked.where("not _hit").select("doc.*").unionByName(marked.where("_hit").join(gone, "row", "left_anti").select("doc.*"))
