@@ -68,3 +68,23 @@ def varint_size(x: Column) -> Column:
 def words(text: Column) -> Column:
     """Runs of letters, digits and _ (ASCII), as they are."""
     return F.regexp_extract_all(text, F.lit(r"\w+"), F.lit(0))
+
+
+def position_of(value: Column, seed: Column, size: Column) -> Column:
+    """One position of :func:`seeded_position`, with the number of the seed and the size as columns."""
+    key = F.unhex(F.concat(F.lpad(F.hex((seed + BASE_SEED).cast("long")), 8, "0"), F.lit("00" * 28)))
+    head = F.substring(F.md5(F.concat(value.cast("binary"), key)), 1, 16)
+    return (F.conv(head, 16, 10).cast("decimal(20,0)") % size.cast("decimal(20,0)")).cast("long")
+
+
+def little_endian(x: Column, size: int) -> Column:
+    """The ``size`` lowest bytes of a long, lowest first."""
+    digits = F.lpad(F.hex(x.cast("long")), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)]))
+
+
+def from_little_endian(data: Column, start: int, size: int) -> Column:
+    """The unsigned number in ``size`` bytes from byte ``start`` (0 is the first), as a long; eight bytes wrap around."""
+    digits = F.hex(F.substring(data, start + 1, size))
+    turned = F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(size, 0, -1)])
+    return F.conv(turned, 16, -10).cast("long")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import varint_size
+from ..functions.hashing import seeded_position, varint_size
 from ..sources.oplog import batches, record_size
+from .sketches import bloom_params
 
 RUN_COLUMNS = ["level", "run_id", "seq", "ts", "key", "value", "tombstone", "crc", "key_size", "value_size"]
 
@@ -110,3 +111,19 @@ def catalog(runs: DataFrame) -> DataFrame:
 def may_contain(manifest_rows: DataFrame, low: str, high: str | None = None) -> DataFrame:
     """Runs whose key range meets low..high (or holds ``low``)."""
     return manifest_rows.where((F.col("min_key") <= (low if high is None else high)) & (F.col("max_key") >= low))
+
+
+def blooms(runs: DataFrame, n: int, p: float) -> DataFrame:
+    """(run_id, pos): the filter of each run's keys."""
+    bits, hashes = bloom_params(n, p)
+    keys = runs.select("run_id", "key").distinct()
+    return keys.select("run_id", F.explode(seeded_position(F.col("key"), hashes, bits)).alias("pos")).distinct()
+
+
+def lookup_runs(keys: DataFrame, manifest_rows: DataFrame, filters: DataFrame, n: int, p: float) -> DataFrame:
+    """(key, run_id): runs whose key range holds a key of ``keys`` and whose filter has all its bits."""
+    bits, hashes = bloom_params(n, p)
+    spots = keys.select("key").where("key is not null").distinct().select("key", F.explode(F.array_distinct(seeded_position(F.col("key"), hashes, bits))).alias("pos"))
+    need = F.size(F.array_distinct(seeded_position(F.col("key"), hashes, bits)))
+    full = spots.join(filters, "pos").groupBy("key", "run_id").agg(F.count("*").alias("have")).where(F.col("have") == need)
+    return full.join(manifest_rows, "run_id").where(F.col("key").between(F.col("min_key"), F.col("max_key"))).select("key", "run_id")

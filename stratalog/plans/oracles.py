@@ -115,6 +115,30 @@ final AS (SELECT * FROM {newest('grouped', 'lv, grp')})"""
 DENSE = "dense AS (SELECT run_id, key, row_number() OVER (PARTITION BY run_id ORDER BY key) - 1 AS nth, coalesce(sum(size) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"at\", coalesce(sum(16 + strlen(key)) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS index_at FROM runs)"
 SEG = f"placed_s AS (SELECT seq, key, size, coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized), seg AS (SELECT seq, size, before // {SEGMENT - 8} + 1 AS segment, before % {SEGMENT - 8} + 8 AS \"at\" FROM placed_s)"
 STRUCT = "acts AS (SELECT event_id AS seq, ['bf', 'cms', 'hll'][(event_id % 3 + 1)::INT] AS kind, 'n' || (user_id % 20) AS name, CASE WHEN event_id % 50 = 0 THEN 'make' WHEN event_id % 333 = 5 THEN 'destroy' ELSE 'put' END AS action, event_type AS argument FROM events), made AS (SELECT kind, name, argument AS parameters, seq AS made FROM (SELECT * FROM acts WHERE action IN ('make', 'destroy') QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY seq DESC) = 1) WHERE action = 'make')"
+NAMED = """nacts0 AS (SELECT event_id AS seq, ['bf', 'cms', 'hll'][(event_id % 3 + 1)::INT] AS kind, 'n' || (user_id % 4) AS name,
+  CASE WHEN event_id % 500 < 3 THEN 'make' WHEN event_id % 3331 = 7 THEN 'destroy' WHEN event_id % 7 = 0 THEN 'check' ELSE 'put' END AS action,
+  CASE WHEN event_id % 500 < 3 THEN (CASE WHEN event_id % 1500 < 3 THEN ['0 0.1', '0.1 0.0', '260'] ELSE ['60 0.05', '0.05 0.1', '10'] END)[(event_id % 3 + 1)::INT]
+  ELSE event_type || ':' || (user_id % 40) END AS argument FROM events),
+nacts AS (SELECT * FROM nacts0 WHERE NOT (action = 'make' AND argument IN ('0 0.1', '0.1 0.0', '260'))),
+nmade AS (SELECT kind, name, seq AS made FROM (SELECT * FROM nacts WHERE action IN ('make', 'destroy') QUALIFY row_number() OVER (PARTITION BY kind, name ORDER BY seq DESC) = 1) WHERE action = 'make'),
+nput AS (SELECT a.kind, a.name, a.argument AS v, count(*) AS n FROM nacts a JOIN nmade m ON m.kind = a.kind AND m.name = a.name AND a.seq > m.made WHERE a.action = 'put' GROUP BY 1, 2, 3),
+nask AS (SELECT DISTINCT a.kind, a.name, a.argument AS v FROM nacts a JOIN nmade m ON m.kind = a.kind AND m.name = a.name WHERE a.action = 'check')"""
+BF60, CMS05, HLL10 = bloom_params(60, 0.05), cms_params(0.05, 0.1), 2.0**10
+
+
+def le(x: str, size: int) -> str:
+    digits = f"printf('%016x', {x}::BIGINT)"
+    return " || ".join(f"substr({digits}, {15 - 2 * i}, 2)" for i in range(size))
+
+
+def le_hex(x: int) -> str:
+    return x.to_bytes(8, "little").hex()
+
+
+def seed_table(n: int) -> str:
+    return "".join(le_hex(32) + seed_hex(i) for i in range(n))
+
+
 PART_LATEST = "SELECT p_name AS key, p_brand || '|' || p_type AS value, p_partkey AS seq FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey DESC) = 1"
 LIVE = f"WITH {LOG}, {LATEST} "
 FLUSHED = f"WITH {LOG}, {RUNS} "
@@ -122,6 +146,30 @@ M10 = 2.0**10
 ALPHA = 0.7213 / (1 + 1.079 / M10)
 
 ORACLES = {
+    "d_check_bf": f"""WITH {NAMED}, bits AS (SELECT DISTINCT name, {position('v', 'seed', BF60[0])} AS pos FROM nput, {seeds(BF60[1])} WHERE kind = 'bf')
+SELECT q.name, q.value, count(b.pos) = count(*) AS present FROM (SELECT name, v AS value, {position('v', 'seed', BF60[0])} AS pos FROM nask, {seeds(BF60[1])} WHERE kind = 'bf') q LEFT JOIN bits b ON b.name = q.name AND b.pos = q.pos GROUP BY 1, 2""",
+    "d_check_cms": f"""WITH {NAMED}, cells AS (SELECT name, i, {position('v', 'seed', CMS05[0])} AS pos, sum(n)::BIGINT AS cnt FROM nput, {seeds(CMS05[1])} WHERE kind = 'cms' GROUP BY 1, 2, 3)
+SELECT q.name, q.value, min(coalesce(c.cnt, 0))::BIGINT AS estimate FROM (SELECT name, v AS value, i, {position('v', 'seed', CMS05[0])} AS pos FROM nask, {seeds(CMS05[1])} WHERE kind = 'cms') q
+LEFT JOIN cells c ON c.name = q.name AND c.i = q.i AND c.pos = q.pos GROUP BY 1, 2""",
+    "d_check_hll": f"""WITH {NAMED}, hv AS (SELECT name, {FNV.format(v="v")} AS h FROM nput WHERE kind = 'hll'),
+reg AS (SELECT name, (h // {2 ** 54}::UHUGEINT)::INT AS bucket, max(1 + CASE WHEN h = 0 THEN 64 ELSE (SELECT min(i) FROM range(0, 64) t(i) WHERE (h // power(2::DOUBLE, i)::UHUGEINT) % 2 = 1) END)::INT AS rank FROM hv GROUP BY 1, 2),
+sums AS (SELECT name, sum(power(2.0, -rank)) AS s, count(*) AS used FROM reg GROUP BY 1),
+raw AS (SELECT a.name, coalesce(used, 0) AS used, {0.7213 / (1 + 1.079 / HLL10) * HLL10 * HLL10}::DOUBLE / (coalesce(s, 0)::DOUBLE + 1024 - coalesce(used, 0)) AS r FROM (SELECT DISTINCT name FROM nask WHERE kind = 'hll') a LEFT JOIN sums ON sums.name = a.name)
+SELECT name, round(CASE WHEN r <= 2560 AND used < 1024 THEN 1024 * ln(1024::DOUBLE / (1024 - used)) ELSE r END, 6) AS estimate FROM raw""",
+    "d_fingerprint": f"WITH {fingerprints('SELECT source AS id, arg_max(text, doc_id) AS text FROM documents GROUP BY 1')} SELECT id AS name, fp FROM fp",
+    "d_simhash": f"WITH {fingerprints('SELECT source AS id, arg_max(text, doc_id) AS text FROM documents GROUP BY 1')} SELECT x.id AS a, y.id AS b, bit_count(xor(x.fp, y.fp))::BIGINT AS distance FROM fp x, fp y WHERE y.id = 'src0'",
+    "s5_record_layout": f"WITH {LOG} SELECT seq, {le('ts', 8)} || CASE WHEN tombstone THEN '01' ELSE '00' END || {le('key_size', 8)} || {le('value_size', 8)} || lower(hex(encode(key))) || lower(hex(encode(value))) AS layout FROM sized",
+    "a8_bloom_bytes": f"""WITH {bloom('SELECT p_brand AS v FROM part', 100, 0.1)}, x AS (SELECT '{le_hex(100)}{le_hex(bloom_params(100, 0.1)[1])}{le_hex(bloom_params(100, 0.1)[0])}{seed_table(bloom_params(100, 0.1)[1])}'
+  || (SELECT string_agg(CASE WHEN pos IS NULL THEN '00' ELSE '01' END, '' ORDER BY i) FROM range(0, {bloom_params(100, 0.1)[0]}) t(i) LEFT JOIN bloom ON pos = i) AS h) SELECT md5(unhex(h)) AS md5, (strlen(h) // 2)::BIGINT AS bytes FROM x""",
+    "a8_cms_bytes": f"""WITH {cms('SELECT l_partkey::VARCHAR AS v FROM lineitem', 0.05, 0.05)}, x AS (SELECT '{le_hex(cms_params(0.05, 0.05)[1])}{le_hex(cms_params(0.05, 0.05)[0])}{seed_table(cms_params(0.05, 0.05)[1])}'
+  || (SELECT string_agg({le('coalesce(cnt, 0)', 8)}, '' ORDER BY i) FROM range(0, {cms_params(0.05, 0.05)[0] * cms_params(0.05, 0.05)[1]}) t(i) LEFT JOIN cms ON row * {cms_params(0.05, 0.05)[0]} + col = i) AS h) SELECT md5(unhex(h)) AS md5, (strlen(h) // 2)::BIGINT AS bytes FROM x""",
+    "j3_overlapping_event_runs": FLUSHED + ", m AS (SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 2 ELSE 1 END AS level, min(key) AS lo, max(key) AS hi FROM runs GROUP BY run_id) SELECT a.run_id, b.run_id AS next_run_id FROM m a JOIN m b ON b.level = a.level + 1 AND a.lo <= b.hi AND a.hi >= b.lo",
+    "s20_run_blooms": FLUSHED + f"SELECT DISTINCT run_id, {position('key', 'seed', bloom_params(CAPACITY, 0.1)[0])} AS pos FROM runs, {seeds(bloom_params(CAPACITY, 0.1)[1])}",
+    "f4_lookup": FLUSHED + f""", bl AS (SELECT DISTINCT run_id, {position('key', 'seed', bloom_params(CAPACITY, 0.1)[0])} AS pos FROM runs, {seeds(bloom_params(CAPACITY, 0.1)[1])}),
+m AS (SELECT run_id, min(key) AS lo, max(key) AS hi FROM runs GROUP BY run_id), ask AS (SELECT DISTINCT key FROM runs UNION ALL SELECT DISTINCT key || 'x' FROM runs),
+sp AS (SELECT DISTINCT key, {position('key', 'seed', bloom_params(CAPACITY, 0.1)[0])} AS pos FROM ask, {seeds(bloom_params(CAPACITY, 0.1)[1])}),
+nd AS (SELECT key, count(*) AS need FROM sp GROUP BY key), hv AS (SELECT sp.key, bl.run_id, count(*) AS have FROM sp JOIN bl ON bl.pos = sp.pos GROUP BY 1, 2)
+SELECT hv.key, hv.run_id FROM hv JOIN nd ON nd.key = hv.key AND nd.need = hv.have JOIN m ON m.run_id = hv.run_id WHERE hv.key BETWEEN m.lo AND m.hi""",
     "s2_classify": f"WITH {LINES} SELECT seq, {OPTION} AS option, {OPTION} <> 0 AS charged, {KEY} AS key, {ARGUMENT} AS argument FROM lines",
     "s3_command_state": f"WITH {LINES}, ops AS (SELECT seq, ts, {KEY} AS key, {ARGUMENT} AS value, {OPTION} = 3 AS tombstone FROM lines WHERE {OPTION} IN (1, 3)) SELECT key, value, seq FROM {newest('ops')} WHERE NOT tombstone",
     "s4_records": f"WITH {LOG} SELECT seq, ts, key, value, tombstone, key_size, value_size FROM sized",

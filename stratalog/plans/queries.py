@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1_64, seeded_position, varint_size
-from ..operators import cache, compact, fingerprints, latest, limits, merkle, runs, sketches
+from ..operators import cache, codecs, compact, fingerprints, latest, limits, merkle, named, runs, sketches
 from ..schema import Config
 from ..sources import commands, oplog
 from ..sources.scratch import materialize, scratch_path
@@ -171,6 +171,12 @@ def s20_run_bloom(spark, d):
     return sketches.bloom_build(rows, "key", 500, 0.1)
 
 
+@query
+def s20_run_blooms(spark, d):
+    """Set bits of every run's filter."""
+    return runs.blooms(runs.flush(events_log(spark, d), CAPACITY), CAPACITY, 0.1)
+
+
 @query
 def s22_read_runs(spark, d):
     """Runs written as files and read back with pruning to two of them."""
@@ -229,6 +235,15 @@ def f4_candidate_runs(spark, d):
     return runs.may_contain(runs.manifest(runs.flush(customers(spark, d), 200)), "Customer#000000777").select("run_id", "min_key", "max_key")
 
 
+@query
+def f4_lookup(spark, d):
+    """Runs that all keys, and as many that no run holds, need after key ranges and filters."""
+    rows = runs.flush(events_log(spark, d), CAPACITY)
+    keys = rows.select("key").distinct()
+    asked = keys.unionByName(keys.select(F.concat("key", F.lit("x")).alias("key")))
+    return runs.lookup_runs(asked, runs.manifest(rows), runs.blooms(rows, CAPACITY, 0.1), CAPACITY, 0.1)
+
+
 @query
 def f5_hide_system_keys(spark, d):
     log = events_log(spark, d)
@@ -346,6 +361,13 @@ def j3_overlapping_runs(spark, d):
     return runs.overlaps(deeper)
 
 
+@query
+def j3_overlapping_event_runs(spark, d):
+    """Runs over the same keys, at two levels."""
+    m = runs.manifest(runs.flush(events_log(spark, d), CAPACITY))
+    return runs.overlaps(m.withColumn("level", F.when(F.pmod("run_id", F.lit(2)) == 0, F.lit(2)).otherwise(F.col("level"))))
+
+
 @query
 def j4_incorrect_elements(spark, d):
     docs = table(spark, d, "documents")
@@ -546,6 +568,71 @@ def d_add_elements(spark, d):
     return sketches.elements(structure_log(spark, d)).groupBy("kind", "name").agg(F.count("*").alias("elements"), F.countDistinct("element").alias("kinds"))
 
 
+def named_log(spark: SparkSession, d: str) -> DataFrame:
+    """Makes (some with parameters that are not valid), destroys, puts and checks of named structures."""
+    e = table(spark, d, "events")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
+    i = F.col("event_id")
+    kind = pick(["bf", "cms", "hll"], F.pmod(i, F.lit(3)))
+    action = F.when(F.pmod(i, F.lit(500)) < 3, "make").when(F.pmod(i, F.lit(3331)) == 7, "destroy").when(F.pmod(i, F.lit(7)) == 0, "check").otherwise("put")
+    good, bad = pick(["60 0.05", "0.05 0.1", "10"], F.pmod(i, F.lit(3))), pick(["0 0.1", "0.1 0.0", "260"], F.pmod(i, F.lit(3)))
+    value = F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(40)).cast("string"))
+    argument = F.when(action == "make", F.when(F.pmod(i, F.lit(1500)) < 3, bad).otherwise(good)).otherwise(value)
+    return e.select(i.alias("seq"), kind.alias("kind"), F.concat(F.lit("n"), F.pmod("user_id", F.lit(4)).cast("string")).alias("name"), action.alias("action"), argument.alias("argument"))
+
+
+@query
+def d_check_bf(spark, d):
+    return named.check_blooms(named_log(spark, d))
+
+
+@query
+def d_check_cms(spark, d):
+    return named.check_cms(named_log(spark, d))
+
+
+@query
+def d_check_hll(spark, d):
+    out = named.check_hlls(named_log(spark, d))
+    return out.select("name", F.round("estimate", 6).alias("estimate"))
+
+
+def texts_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.col("source").alias("name"), "text")
+
+
+@query
+def d_fingerprint(spark, d):
+    """The fingerprint of each name's last text."""
+    return named.fingerprints_by_name(texts_by_source(spark, d)).select(F.col("id").alias("name"), "fp")
+
+
+@query
+def d_simhash(spark, d):
+    """Distances of all names' fingerprints to that of one."""
+    names = texts_by_source(spark, d).select(F.col("name").alias("a"), F.lit("src0").alias("b"))
+    return named.simhash_answers(texts_by_source(spark, d), names)
+
+
+@query
+def s5_record_layout(spark, d):
+    """Records as bytes, without the checksum, which DuckDB can't compute."""
+    data = F.hex(codecs.record_to_bytes())
+    return events_log(spark, d).select("seq", F.lower(F.substring(data, 9, 1_000_000)).alias("layout"))
+
+
+@query
+def a8_bloom_bytes(spark, d):
+    bloom = sketches.bloom_build(table(spark, d, "part"), "p_brand", 100, 0.1)
+    return codecs.bloom_to_bytes(bloom, 100, 0.1).select(F.md5("data").alias("md5"), F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query
+def a8_cms_bytes(spark, d):
+    cms = sketches.cms_build(table(spark, d, "lineitem"), "l_partkey", 0.05, 0.05)
+    return codecs.cms_to_bytes(cms, 0.05, 0.05).select(F.md5("data").alias("md5"), F.octet_length("data").cast("long").alias("bytes"))
+
+
 # Compaction
 
 
