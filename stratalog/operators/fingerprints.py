@@ -31,16 +31,18 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp) per id, as a signed long. A text without words has all bits set.
 
-    Words are counted first; then each of the 63 columns is one sum, so a row per word is never blown up to one per bit.
+    Each of the 63 columns is one sum over the words, so a row per word is never blown up to one per bit. A document's words
+    are summed where they are read; what is shuffled is a row per id and task. Null texts have no words.
     """
-    counts = word_counts(docs, id_col, text_col).withColumn("h", md5_low64(F.col("word")))
-    sums = counts.groupBy("id").agg(*[F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"s{i}") for i in range(BITS)])
+    each = docs.select(F.col(id_col).alias("id"), F.explode_outer(words(F.col(text_col))).alias("word"))
+    each = each.select("id", F.when(~F.col("word").isin(*STOP_WORDS), md5_low64(F.col("word"))).alias("h"))
+    signed = lambda i: F.when(F.col("h").isNull(), 0).when(F.getbit("h", F.lit(i)) == 1, 1).otherwise(-1)
+    sums = each.groupBy("id").agg(*[F.sum(signed(i)).alias(f"s{i}") for i in range(BITS)])
     weight = lambda i: F.lit(2 ** (i + 1) if i < 62 else -(2**63)).cast("long")
     total = F.lit(0).cast("long")
     for i in range(BITS):
-        total = total.bitwiseOR(F.when(F.coalesce(F.col(f"s{i}"), F.lit(0)) >= 0, weight(i)).otherwise(F.lit(0).cast("long")))
-    ids = docs.select(F.col(id_col).alias("id")).distinct()
-    return ids.join(sums, "id", "left").select("id", total.alias("fp"))
+        total = total.bitwiseOR(F.when(F.col(f"s{i}") >= 0, weight(i)).otherwise(F.lit(0).cast("long")))
+    return sums.select("id", total.alias("fp"))
 
 
 def distances(pairs: DataFrame, fps: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..sources.oplog import running
 from ..sources.scratch import materialize
 
 EMPTY = "00" * 20
+#: Levels made in one round.
+STEP = 8
 
 
 def leaves(rows: DataFrame, data: Column, order: str) -> DataFrame:
@@ -20,23 +24,36 @@ def leaves(rows: DataFrame, data: Column, order: str) -> DataFrame:
 def build(leaf_rows: DataFrame) -> DataFrame:
     """All levels. The tree is filled up to a power of two with zero hashes; subtrees of such leaves are never made, their hash is known.
 
-    Each level is one aggregation of the one below, half its size; log2(n) rounds.
+    A round is one aggregation that makes STEP levels: nodes under one ancestor meet in an array of 2**STEP at most, and
+    the levels above are array expressions on it. A tree of n leaves takes log2(n) / STEP rounds.
     """
     rows = materialize(leaf_rows)
     n = rows.count()
-    empty = F.unhex(F.lit(EMPTY))
-    out, level, now = rows, 0, rows
+    empty, level, now, out = bytes.fromhex(EMPTY), 0, rows, rows
     while n > 1:
-        level += 1
-        side = F.max(F.when(F.pmod("pos", F.lit(2)) == 0, F.col("hash"))), F.max(F.when(F.pmod("pos", F.lit(2)) == 1, F.col("hash")))
-        pairs = now.groupBy(F.floor(F.col("pos") / 2).cast("long").alias("pos")).agg(side[0].alias("l"), side[1].alias("r"))
-        now = materialize(pairs.select(F.lit(level).alias("level"), "pos", F.unhex(F.sha1(F.concat("l", F.coalesce("r", empty)))).alias("hash")))
-        empty = F.unhex(F.sha1(F.concat(empty, empty)))
-        out = out.unionByName(now)
-        n = -(-n // 2)
+        step = min(STEP, (n - 1).bit_length())
+        own = F.array_sort(F.collect_list(F.struct("pos", "hash")))
+        wide = now.groupBy(F.shiftright("pos", step).alias("above")).agg(own.alias("own")).select("above", F.transform("own", lambda x: x["hash"]).alias("a0"))
+        for i in range(step):
+            wide = wide.withColumn(f"a{i + 1}", _parents(f"a{i}", empty))
+            empty = hashlib.sha1(empty + empty).digest()
+        wide = materialize(wide.drop("a0"))
+        for i in range(1, step + 1):
+            made = wide.select("above", F.posexplode(f"a{i}").alias("nth", "hash"))
+            pos = F.shiftleft("above", step - i) + F.col("nth")
+            now = made.select(F.lit(level + i).alias("level"), pos.cast("long").alias("pos"), "hash")
+            out = out.unionByName(now)
+        level += step
+        n = -(-n // 2**step)
     return out
 
 
+def _parents(nodes: str, empty: bytes) -> Column:
+    """Of neighbouring nodes from an even place on, the hashes of each two; a missing right one is empty."""
+    right = lambda i: F.coalesce(F.get(nodes, 2 * i + 1), F.lit(empty))
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / 2).cast("int")), lambda i: F.unhex(F.sha1(F.concat(F.get(nodes, 2 * i), right(i)))))
+
+
 def root(tree: DataFrame) -> DataFrame:
     """(level, hash) of the top; the empty tree has none."""
     return tree.orderBy(F.desc("level")).limit(1).select("level", "hash")

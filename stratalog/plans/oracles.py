@@ -146,6 +146,10 @@ M10 = 2.0**10
 ALPHA = 0.7213 / (1 + 1.079 / M10)
 
 ORACLES = {
+    "l4_iterate": LIVE + "SELECT row_number() OVER (ORDER BY key) AS call, key, value FROM live WHERE starts_with(key, 'u00')",
+    "l5_iterate": LIVE + "SELECT row_number() OVER (ORDER BY key) AS call, key, value FROM live WHERE key BETWEEN 'u0010' AND 'u0050'",
+    "s26_scan_lines": LIVE + ", p AS (SELECT row_number() OVER (ORDER BY key) AS place, key, value FROM live) SELECT place, place || '. key: ' || key || chr(9) || 'value: ' || value AS line FROM p",
+    "x13_scan_arguments": rf"WITH {LINES} SELECT seq, nullif(regexp_extract(line, '^prefixscan (\w+) ', 1), '') AS prefix, nullif(regexp_extract(line, '^rangescan (\w+)-(\w+) ', 1), '') AS low, nullif(regexp_extract(line, '^rangescan (\w+)-(\w+) ', 2), '') AS high, regexp_extract(line, ' (\d+) (\d+)$', 1)::BIGINT AS page, regexp_extract(line, ' (\d+) (\d+)$', 2)::BIGINT AS size FROM lines WHERE {OPTION} IN (10, 11)",
     "d_check_bf": f"""WITH {NAMED}, bits AS (SELECT DISTINCT name, {position('v', 'seed', BF60[0])} AS pos FROM nput, {seeds(BF60[1])} WHERE kind = 'bf')
 SELECT q.name, q.value, count(b.pos) = count(*) AS present FROM (SELECT name, v AS value, {position('v', 'seed', BF60[0])} AS pos FROM nask, {seeds(BF60[1])} WHERE kind = 'bf') q LEFT JOIN bits b ON b.name = q.name AND b.pos = q.pos GROUP BY 1, 2""",
     "d_check_cms": f"""WITH {NAMED}, cells AS (SELECT name, i, {position('v', 'seed', CMS05[0])} AS pos, sum(n)::BIGINT AS cnt FROM nput, {seeds(CMS05[1])} WHERE kind = 'cms' GROUP BY 1, 2, 3)

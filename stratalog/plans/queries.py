@@ -333,6 +333,32 @@ def l4_pages(spark, d):
     return shown(latest.pages(latest.prefix(events_log(spark, d), "u"), 10))
 
 
+@query
+def l4_iterate(spark, d):
+    """What a cursor over a prefix gives, call by call, until it ends."""
+    rows = latest.prefix(events_log(spark, d), "u00")
+    return latest.pages(rows, 1).select(F.col("page").alias("call"), "key", F.col("value").cast("string").alias("value"))
+
+
+@query
+def l5_iterate(spark, d):
+    """What a cursor over a range gives, call by call."""
+    rows = latest.key_range(events_log(spark, d), "u0010", "u0050")
+    return latest.pages(rows, 1).select(F.col("page").alias("call"), "key", F.col("value").cast("string").alias("value"))
+
+
+@query
+def s26_scan_lines(spark, d):
+    """A prefix scan's pages of ten as numbered lines."""
+    rows = latest.pages(latest.prefix(events_log(spark, d), "u"), 10)
+    return commands.text_lines(rows.withColumn("nth", (F.col("page") - 1) * 10 + F.col("place")), "nth")
+
+
+@query
+def x13_scan_arguments(spark, d):
+    return commands.scans(commands.parse(command_lines(spark, d)))
+
+
 @query
 def l7_cache(spark, d):
     return shown(cache.cached(events_log(spark, d), 5))

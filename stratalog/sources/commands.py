@@ -52,3 +52,20 @@ def operations(parsed: DataFrame) -> DataFrame:
     """The puts and deletes among parsed commands, as (seq, ts, key, value, tombstone)."""
     rows = parsed.where(F.col("option").isin(1, 3))
     return rows.select("seq", "ts", "key", F.col("argument").cast("binary").alias("value"), (F.col("option") == 3).alias("tombstone"))
+
+
+def scans(parsed: DataFrame, line_col: str = "line") -> DataFrame:
+    """(seq, prefix, low, high, page, size) of the scan commands; numbers beyond a long are null, as are the parts that a command lacks."""
+    line = F.rtrim(F.regexp_replace(F.col(line_col), r"[\r\n]+$", ""))
+    part = lambda pattern, i: F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
+    numbers = r"^(?:prefixscan|rangescan) \S+ (\d+) (\d+)$"
+    return parsed.where(F.col("option").isin(10, 11)).select(
+        "seq", part(r"^prefixscan (\w+) ", 1).alias("prefix"), part(r"^rangescan (\w+)-(\w+) ", 1).alias("low"), part(r"^rangescan (\w+)-(\w+) ", 2).alias("high"),
+        part(numbers, 1).try_cast("long").alias("page"), part(numbers, 2).try_cast("long").alias("size"),
+    )
+
+
+def text_lines(rows: DataFrame, number: str = "place") -> DataFrame:
+    """(place, line): the numbered lines in which a scan is shown."""
+    text = F.concat(F.col(number).cast("string"), F.lit(". key: "), F.col("key"), F.lit("\tvalue: "), F.coalesce(F.col("value").cast("string"), F.lit("")))
+    return rows.select(F.col(number).alias("place"), text.alias("line"))
