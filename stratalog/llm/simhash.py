@@ -212,13 +212,21 @@ def band_columns() -> list[Column]:
     return [F.col("bands")[i].bitwiseOR(F.lit(-(2**63))) for i in range(BANDS)]
 
 
-def open_classes(nodes: DataFrame, keys: list[Column], first: int) -> DataFrame:
-    """Of nodes (node, c, ...): (k, j, node, c) for each key, the ``first`` + nth is j, that nodes of different components c share.
+def open_classes(nodes: DataFrame, keys: list[Column], first: int, distance: int | None = None) -> DataFrame:
+    """Of nodes (node, c, fp, ...): (k, j, node, c) for each key, the ``first`` + nth is j, that nodes of different components c share.
 
-    Classes are judged with partial sums; a bit table keeps rows of all others out of the second shuffle.
+    With ``distance`` the keys are variants. A pair with an equal segment is found in that segment's first variant, another
+    in the variant of the bit that differs; so of a segment's other variants only those are kept whose bit differs in the
+    class. Classes are judged with partial sums; a bit table keeps rows of all others out of the second shuffle.
     """
-    rows = nodes.select("node", "c", F.posexplode(F.array(*keys)).alias("j", "k")).withColumn("j", F.col("j") + F.lit(first))
-    mixed = materialize(rows.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most").select("k"))
+    rows = nodes.select("node", "c", "fp", F.posexplode(F.array(*keys)).alias("j", "k")).withColumn("j", F.col("j") + F.lit(first))
+    judged = [F.min("c").alias("least"), F.max("c").alias("most")]
+    useful = F.col("least") < F.col("most")
+    if distance is not None:  # segments follow one another, so the left-out bit of the nth variant is the nth
+        bit = F.getbit("fp", F.col("j"))
+        judged += [F.min("j").alias("bit"), F.min(bit).alias("low"), F.max(bit).alias("high")]
+        useful &= F.col("bit").isin([at for at, _ in segments(distance)]) | (F.col("low") < F.col("high"))
+    mixed = materialize(rows.groupBy("k").agg(*judged).where(useful).select("k"))
     table = bit_table(mixed, "k")
     out = materialize(with_bit(rows, "k", table).where("_hit").join(mixed, "k", "left_semi").select("k", "j", "node", "c"))
     release(mixed, table)
@@ -343,7 +351,7 @@ def verified_links(nodes: DataFrame, distance: int, least: float, sets_of: Calla
         open_ = relabelled(rest.select("k", "j", "node"), groups)
     release(sets)
     labelled = nodes.join(groups, "node", "left").withColumn("c", F.coalesce("label", "node"))
-    open_ = open_.unionByName(open_classes(labelled, own, 0))
+    open_ = open_.unionByName(open_classes(labelled, own, 0, distance))
     pairs = materialize(crossing_pairs(open_, nodes, distance, least))
     return materialize(links.unionByName(verify(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))))))
 
