@@ -32,7 +32,7 @@ SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|passwd|api[_ -]?key|access[_ -]?k
 DIGEST_WORDS = r"(?i)(commit|checksum|sha-?\d*|md5|digest|etag|uuid|guid|hash|revision|integrity)"
 DUMMY_WORDS = r"(?i)(example|sample|dummy|placeholder|your|xxxx|test|fake|redacted|changeme|lorem)"
 
-FEATURES = ["size", "runs", "changes", "digits", "uppers", "others", "hex", "distinct", "covered", "longest_letters", "path", "assigned", "quoted", "secret_word", "digest_word", "dummy_word", "own_dummy"]
+FEATURES = ["size", "runs", "changes", "digits", "uppers", "alphanumeric", "hex", "distinct", "covered", "longest_letters", "path", "assigned", "quoted", "secret_word", "digest_word", "dummy_word", "own_dummy"]
 
 
 def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -42,7 +42,7 @@ def features(cand: Column, before: Column, after: Column) -> dict[str, Column]:
     runs = F.regexp_count(cand, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))
     whole = F.concat(F.right(before, F.lit(1)), cand)
     cols = {
-        "size": n, "runs": runs, "changes": runs / n, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "others": share("[A-Za-z0-9]"),
+        "size": n, "runs": runs, "changes": runs / n, "digits": share("[0-9]"), "uppers": share("[A-Z]"), "alphanumeric": share("[A-Za-z0-9]"),
         "hex": flag(cand.rlike("^([0-9a-f]+|[0-9A-F]+)$")), "distinct": F.size(F.array_distinct(F.split(cand, ""))) / F.least(n, F.lit(64)),
         "covered": (n - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))) / n,
         "longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(cand, F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)),

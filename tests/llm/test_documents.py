@@ -407,9 +407,9 @@ def test_scores_come_from_texts_alone(spark):
     labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows], "doc_id long, quality int")
     table = spark.createDataFrame([(i, t, "en", "a") for i, t, _ in rows], "doc_id long, text string, lang string, source string")
     model = quality.fit(table, labels)
-    a = {r.text: r.__getitem__("__score") for r in quality.score(table, model).collect()}
+    a = {r.doc.text: r.score for r in quality.score(table, model).collect()}
     moved = table.selectExpr("doc_id + 1000 as doc_id", "text", "'xx' as lang", "'other' as source")
-    assert {r.text: r.__getitem__("__score") for r in quality.score(moved, model).collect()} == a
+    assert {r.doc.text: r.score for r in quality.score(moved, model).collect()} == a
 
 
 def test_gam_learns_a_pair():
