@@ -59,6 +59,36 @@ def root(tree: DataFrame) -> DataFrame:
     return tree.orderBy(F.desc("level")).limit(1).select("level", "hash")
 
 
+def proofs(leaf_rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """(pos, nth, level, hash) for each leaf in ``leaf_rows`` (pos): the root, then from the top down the neighbours of the nodes on the way to the leaf."""
+    top = tree.agg(F.max("level")).first()[0]
+    if top is None:
+        return tree.select("pos", F.lit(0).alias("nth"), "level", "hash")
+    empty = [bytes.fromhex(EMPTY)]
+    for _ in range(top):
+        empty.append(hashlib.sha1(empty[-1] * 2).digest())
+    # One row for each level, 64 at most; the root's neighbour stands for the root itself.
+    way = leaf_rows.select("pos", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"))
+    beside = F.when(F.col("level") == top, F.lit(0).cast("long")).otherwise(F.expr("shiftright(pos, level)").bitwiseXOR(F.lit(1).cast("long")))
+    nodes = tree.select("level", F.col("pos").alias("at"), "hash")
+    full = way.withColumn("at", beside).join(nodes, ["level", "at"], "left")
+    none = F.element_at(F.array(*map(F.lit, empty)), F.col("level") + 1)
+    return full.select("pos", (F.lit(top) - F.col("level")).alias("nth"), "level", F.coalesce("hash", none).alias("hash"))
+
+
+def proven(leaf_rows: DataFrame, proof_rows: DataFrame) -> DataFrame:
+    """Those of ``leaf_rows`` (pos, hash) whose proof leads to its root."""
+    path = proof_rows.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("level", F.col("hash").alias("h")))).alias("path"))
+    whole = leaf_rows.join(path, "pos")
+
+    def up(x: Column, step: Column) -> Column:
+        right = F.pmod(F.call_function("shiftright", F.col("pos"), step["level"]), F.lit(2).cast("long")) == 1
+        return F.unhex(F.sha1(F.when(right, F.concat(step["h"], x)).otherwise(F.concat(x, step["h"]))))
+
+    made = F.aggregate(F.slice("path", F.lit(1), F.size("path") - 1), F.col("hash"), up)
+    return whole.where(made == F.element_at("path", -1)["h"]).drop("path")
+
+
 def contained(rows: DataFrame, data: Column, tree: DataFrame) -> DataFrame:
     """Rows whose hash is among the leaves."""
     own = rows.withColumn("__h", F.unhex(F.sha1(data.cast("binary"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import seeded_position, varint_size
 from ..sources.oplog import batches, record_size
+from ..sources.scratch import materialize
 from .sketches import bloom_params
 
 RUN_COLUMNS = ["level", "run_id", "seq", "ts", "key", "value", "tombstone", "crc", "key_size", "value_size"]
@@ -39,11 +40,28 @@ def overlaps(manifest_rows: DataFrame) -> DataFrame:
     return a.join(b, (a.level == b.level) & (F.col("lo") <= F.col("max_key")) & (F.col("hi") >= F.col("min_key"))).select("run_id", "next_run_id")
 
 
+def _placed(runs: DataFrame) -> DataFrame:
+    """(run_id, key, nth, at, index_at): every record's number, data offset and index offset in its run, in key order.
+
+    Runs are cut into key ranges, and sums per range come first, so a run that is as large as the table is never summed in one task.
+    An index entry is key size 8, key, offset 8.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = runs.select("run_id", "key", record_size().alias("size"), (F.lit(16) + F.octet_length("key")).alias("entry"))
+    rows = materialize(rows.repartitionByRange(n, "run_id", "key").withColumn("part", F.spark_partition_id()))
+    sums = rows.groupBy("run_id", "part").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("entry").alias("entry"))
+    upto = Window.partitionBy("run_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("run_id", "part", *(F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_0") for c in ("n", "size", "entry")))
+    order = Window.partitionBy("run_id", "part").orderBy("key")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c: (F.col(f"{c}_0") + F.coalesce(F.sum(c).over(before), F.lit(0))).cast("long")
+    nth = (F.col("n_0") + F.row_number().over(order) - 1).cast("long").alias("nth")
+    return rows.join(starts, ["run_id", "part"]).select("run_id", "key", nth, sum_of("size").alias("at"), sum_of("entry").alias("index_at"))
+
+
 def dense_index(runs: DataFrame) -> DataFrame:
     """(run_id, key, nth, at): every record's number and data offset in its run, in key order."""
-    order = Window.partitionBy("run_id").orderBy("key")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return runs.select("run_id", "key", (F.row_number().over(order) - 1).cast("long").alias("nth"), F.coalesce(F.sum(record_size()).over(before), F.lit(0)).alias("at"))
+    return _placed(runs).select("run_id", "key", "nth", "at")
 
 
 def sparse_index(runs: DataFrame, density: int) -> DataFrame:
@@ -52,11 +70,8 @@ def sparse_index(runs: DataFrame, density: int) -> DataFrame:
 
 
 def index_offsets(runs: DataFrame, density: int) -> DataFrame:
-    """The sparse index with the place of its entries in the dense one: an entry is key size 8, key, offset 8."""
-    order = Window.partitionBy("run_id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    entry = F.lit(16) + F.octet_length("key")
-    wide = dense_index(runs).withColumn("index_at", F.coalesce(F.sum(entry).over(order), F.lit(0)).cast("long"))
-    return wide.where(F.col("nth") % density == 0).select("run_id", "key", "nth", "index_at")
+    """The sparse index with the place of its entries in the dense one."""
+    return _placed(runs).where(F.col("nth") % density == 0).select("run_id", "key", "nth", "index_at")
 
 
 def dictionary(keys: DataFrame) -> DataFrame:

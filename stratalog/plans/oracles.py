@@ -92,6 +92,19 @@ def merkle(levels: int = 22) -> str:
     return ", ".join(parts) + ", tree AS (" + " UNION ALL ".join(f"SELECT {i} AS level, pos, hash FROM n{i}" for i in range(levels)) + ")"
 
 
+def empties(levels: int = 22) -> str:
+    import hashlib
+
+    rows, empty = [], bytes(20)
+    for i in range(levels):
+        rows.append(f"({i}, unhex('{empty.hex()}'))")
+        empty = hashlib.sha1(empty + empty).digest()
+    return f"empties(level, hash) AS (VALUES {', '.join(rows)})"
+
+
+EMPTIES = empties()
+
+
 def rate(source: str, group: str, capacity: int, cooldown: int) -> str:
     return f"""req AS (SELECT {group} AS g, ts, seq FROM {source}),
 w(g, since) AS (SELECT DISTINCT g, 0::BIGINT FROM req UNION ALL SELECT g, nxt FROM (SELECT w.g, (SELECT min(r.ts) FROM req r WHERE r.g = w.g AND r.ts > w.since + {cooldown}) AS nxt FROM w) WHERE nxt IS NOT NULL),
@@ -203,6 +216,12 @@ SELECT hv.key, hv.run_id FROM hv JOIN nd ON nd.key = hv.key AND nd.need = hv.hav
     "f8_range_runs": f"WITH {CUSTOMER_RUNS} SELECT run_id, rows FROM m WHERE min_key <= 'Customer#000000500' AND max_key >= 'Customer#000000300'",
     "f9_tombstones": LIVE + "SELECT tombstone, count(*) AS keys FROM latest GROUP BY tombstone",
     "f10_checksums": f"WITH {LOG} SELECT seq, key FROM log WHERE seq % 100 = 7",
+    "f11_proof_path": f"WITH {merkle()}, top AS (SELECT max(level) AS top FROM tree), way AS (SELECT n0.pos, l::INT AS level, top::INT AS top FROM n0, top, range(22) r(l) WHERE l <= top), " + EMPTIES + """
+SELECT way.pos, way.top - way.level AS nth, way.level, lower(hex(coalesce(t.hash, e.hash))) AS hash FROM way JOIN empties e ON e.level = way.level
+LEFT JOIN tree t ON t.level = way.level AND t.pos = CASE WHEN way.level = way.top THEN 0 ELSE xor(way.pos >> way.level, 1) END""",
+    "l7_cache": f"""WITH {LOG}, ops AS (SELECT list([{{'key': key, 'seq': seq, 'value': value, 'tombstone': tombstone}}] ORDER BY seq) AS l FROM log),
+held AS (SELECT list_reduce(l, lambda a, x: list_slice(list_concat(list_filter(a, lambda y: y.key <> x[1].key), list_filter(x, lambda y: NOT y.tombstone)), -5, -1), list_filter(l[1], lambda y: false)) AS h FROM ops),
+r AS (SELECT unnest(h) AS r FROM held) SELECT r.key AS key, r.seq AS seq, r.value AS value FROM r""",
     "f11_merkle_contained": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents WHERE lang = 'en')",
     "l1_sorted": LIVE + "SELECT key, value FROM live ORDER BY key",
     "l2_prefix_scan": LIVE + "SELECT key, value FROM live WHERE starts_with(key, 'u00') ORDER BY key LIMIT 10 OFFSET 10",

@@ -281,6 +281,14 @@ def f11_merkle_contained(spark, d):
     return merkle.contained(docs, F.col("text"), tree).select("doc_id")
 
 
+@query
+def f11_proof_path(spark, d):
+    """Every document's way through the tree of all; only proofs that lead to the root are returned."""
+    leaves = materialize(merkle.leaves(table(spark, d, "documents"), F.col("text"), "doc_id"))
+    paths = materialize(merkle.proofs(leaves, merkle.build(leaves)))
+    return paths.join(merkle.proven(leaves, paths).select("pos"), "pos").select("pos", "nth", "level", F.lower(F.hex("hash")).alias("hash"))
+
+
 @query
 def l1_sorted(spark, d):
     return shown(latest.live(events_log(spark, d))).select("key", "value").orderBy("key")
@@ -640,6 +648,13 @@ def c3_leveled_state(spark, d):
     return shown(latest.live(done)).select("key", "value", "seq")
 
 
+@query
+def c3_levels(spark, d):
+    """What leveled compaction leaves on each level."""
+    leveled = Config(compression_type="leveled", first_leveled_size=20_000, leveled_inc=4, max_lsm_levels=3)
+    return runs.levels(runs.manifest(compact.compact(materialize(runs.flush(events_log(spark, d), CAPACITY)), leveled)))
+
+
 @query
 def c4_compacted_state(spark, d):
     """Size-tiered compaction leaves the state as it was, tombstones included."""

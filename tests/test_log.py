@@ -117,6 +117,42 @@ def test_compaction_keeps_the_state(spark, kind):
     assert dict(shown(latest.live(done))) == state(ops)
 
 
+def plain_leveled(ops, capacity, config):
+    """Levels of runs after leveled compaction, a run at a time: {level: [(rows, bytes), ...]}."""
+    now = []
+    for a in range(0, len(ops), capacity):
+        now.append((1, a // capacity, {k: (ts, seq, v) for seq, k, v, ts in ops[a : a + capacity]}))
+    size = lambda run: sum(29 + len(k) + len(v[2] or "old") for k, v in run.items())
+    new = len(now)
+    while True:
+        for level in range(1, config.max_lsm_levels):
+            own = sorted((r for r in now if r[0] == level), key=lambda r: r[1])
+            if sum(size(r[2]) for r in own) > config.first_leveled_size * config.leveled_inc ** (level - 1):
+                break
+        else:
+            return {x: sorted((len(r[2]), size(r[2])) for r in now if r[0] == x) for x in {r[0] for r in now}}
+        low, high = min(own[0][2]), max(own[0][2])
+        group = [own[0], *(r for r in now if r[0] == level + 1 and min(r[2]) <= high and max(r[2]) >= low)]
+        one = {}
+        for r in group:
+            for k, v in r[2].items():
+                one[k] = max(one.get(k, v), v, key=lambda x: x[:2])
+        now = [r for r in now if r not in group] + [(level + 1, new, one)]
+        new += 1
+
+
+def test_leveled_compaction_against_a_loop(spark):
+    rng = random.Random(4)
+    ops = [(i, f"{'abcd'[i // 150]}{rng.randrange(40):02}", rng.choice([None, "x" * rng.randrange(1, 30)]), i // 3) for i in range(600)]
+    config = Config(compression_type="leveled", tables_to_compress=3, max_lsm_levels=3, first_leveled_size=3000, leveled_inc=1)
+    done = compact.compact(runs.flush(log_of(spark, *ops), 50), config)
+    got = {}
+    for r in compact.listed(runs.manifest(done)):
+        got.setdefault(r.level, []).append((r.rows, r.bytes))
+    want = plain_leveled(ops, 50, config)
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 1 and len(want.get(3, [])) > 1
+
+
 def test_runs_on_disk(spark, tmp_path):
     log = log_of(spark, *random_ops(200, 30, 3))
     flushed = runs.flush(log, 50)

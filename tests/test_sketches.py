@@ -5,6 +5,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratalog.functions import hashing
 from stratalog.operators import fingerprints, merkle, sketches
@@ -124,3 +125,21 @@ def test_take_against_a_loop(times, capacity, cooldown):
         tokens = max(tokens - 1, 0)
     state, allowed, _ = take((0, capacity), np.array(times, np.int64), capacity, cooldown)
     assert allowed.tolist() == want and state == (start, tokens)
+
+
+def test_proofs(spark):
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(300)], "id long, t string")
+    leaves = merkle.leaves(rows, F.col("t"), "id")
+    paths = merkle.proofs(leaves, merkle.build(leaves))
+    sha = lambda b: hashlib.sha1(b).digest()
+    by = {}
+    for r in sorted(paths.collect(), key=lambda r: r.nth):
+        by.setdefault(r.pos, []).append(bytes(r.hash))
+    assert len(by) == 300 and len({p[0] for p in by.values()}) == 1
+    for pos, (top, *beside) in by.items():
+        own, at = sha(f"r{pos}".encode()), pos
+        for x in reversed(beside):
+            own, at = sha(x + own if at % 2 else own + x), at // 2
+        assert own == top
+    wrong = leaves.withColumn("hash", F.when(F.col("pos") == 7, F.unhex(F.lit("00" * 20))).otherwise(F.col("hash")))
+    assert {r.pos for r in merkle.proven(wrong, paths).collect()} == set(range(300)) - {7}
