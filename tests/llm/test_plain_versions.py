@@ -1,4 +1,4 @@
-"""Whole queries that SQL can't express, on whole tables, against plain Python versions that share no code with them."""
+"""Whole queries that SQL can't express, on whole tables, against plain Python versions that share only fitted models and fixed values with them."""
 
 import bisect
 import math
