@@ -547,7 +547,7 @@ def d_delete(spark, d):
     log = events_log(spark, d)
     keys = spark.createDataFrame([("u0001", 1), ("u0002", 2), ("u0003", 3), ("zzz", 4)], "key string, n long")
     dead = oplog.deletions(latest.live(log), keys, 1_000_000, 4_000_000_000)
-    return shown(latest.latest(log.unionByName(dead)).where("seq >= 1000000")).select("key", "value", "tombstone", "seq")
+    return shown(dead).select("key", "value", "tombstone", "seq")  # never looked up by seq or ts: those of the log may be as large
 
 
 def structure_log(spark: SparkSession, d: str) -> DataFrame:
